@@ -9,6 +9,7 @@ of edge rows is bounded by the extent of the key divided by the slice width, not
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,11 +30,17 @@ def range_slice(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(width)).cast("bigint")
 
 
-def same_key(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
+def null_safe_join(
+    left: DataFrame, right: DataFrame, names: list[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join on `names` in which nulls match nulls; the left key columns are kept."""
+    renamed = right.select(
+        *(F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns)
+    )
+    cond = reduce(
+        lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names)
+    )
+    return left.join(renamed, cond, how).drop(*(f"_r_{n}" for n in names))
 
 
 def lag_in_slices(
@@ -66,6 +73,40 @@ def lag_in_slices(
     return body.unionByName(heads).drop("_last", SLICE)
 
 
+def _mark(df, keys, seq, fields, starts, slice_by) -> DataFrame:
+    """Rows with their predecessor in the slice and the last opening seen in the slice."""
+    inner = Window.partitionBy(*keys, SLICE).orderBy(seq)
+    upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        df.withColumn(SLICE, slice_by)
+        .withColumn("_prev", F.lag(F.struct(*fields)).over(inner))
+        .withColumn("_last", F.lead(F.lit(1)).over(inner).isNull())
+        .withColumn(
+            "_opens", F.when(F.col("_prev").isNotNull() & starts(F.col("_prev")), F.col(seq))
+        )
+        .withColumn("_local", F.max("_opens").over(upto))
+    )
+
+
+def _resolve_heads(marked, keys, seq, fields, starts) -> DataFrame:
+    """Island of the first row of every slice, from the edge rows of the slices alone."""
+    across = Window.partitionBy(*keys).orderBy(SLICE, seq)
+    upto = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = F.when(
+        F.col("_head"),
+        F.when(F.col("_prev").isNull() | starts(F.col("_prev")), F.col(seq)),
+    )
+    return (
+        marked.where(F.col("_prev").isNull() | F.col("_last"))
+        .withColumn("_head", F.col("_prev").isNull())
+        .withColumn("_prev", F.lag(F.struct(*fields)).over(across))
+        .withColumn("_opened", F.greatest(opened, F.col("_local")))
+        .withColumn("_resolved", F.max("_opened").over(upto))
+        .where("_head")
+        .select(*keys, SLICE, "_resolved")
+    )
+
+
 def islands(
     df: DataFrame,
     keys: list[str],
@@ -83,48 +124,15 @@ def islands(
     the `seq` of its first row. `partial` are aggregates over rows, `merge` aggregates over
     the partial results of the same names. `prev` is a struct of `fields` of the row before.
     """
-    inner = Window.partitionBy(*keys, SLICE).orderBy(seq)
-    upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = (
-        df.withColumn(SLICE, slice_by)
-        .withColumn("_prev", F.lag(F.struct(*fields)).over(inner))
-        .withColumn("_last", F.lead(F.lit(1)).over(inner).isNull())
-        .withColumn(
-            "_opens", F.when(F.col("_prev").isNotNull() & starts(F.col("_prev")), F.col(seq))
-        )
-        .withColumn("_local", F.max("_opens").over(upto))
-    )
+    marked = _mark(df, keys, seq, fields, starts, slice_by)
     parts = marked.groupBy(*keys, SLICE, "_local").agg(
         *(c.alias(n) for n, c in partial.items())
     )
-
-    across = Window.partitionBy(*keys).orderBy(SLICE, seq)
-    edge_upto = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge_prev = F.lag(F.struct(*fields)).over(across)
-    heads = (
-        marked.where(F.col("_prev").isNull() | F.col("_last"))
-        .withColumn("_head", F.col("_prev").isNull())
-        .withColumn("_prev", edge_prev)
-        .withColumn(
-            "_opened",
-            F.when(
-                F.col("_head"),
-                F.when(F.col("_prev").isNull() | starts(F.col("_prev")), F.col(seq)),
-            ),
-        )
-        .withColumn("_opened", F.greatest("_opened", "_local"))
-        .withColumn("_resolved", F.max("_opened").over(edge_upto))
-        .where("_head")
-        .select(*keys, SLICE, "_resolved")
-    )
+    heads = _resolve_heads(marked, keys, seq, fields, starts)
     # at most one head part per (key, slice): both sides of this join are edge-sized
     open_parts = parts.where(F.col("_local").isNull()).drop("_local")
-    joined = open_parts.join(
-        heads, same_key(open_parts, heads, [*keys, SLICE]), "inner"
-    ).select(
-        *(open_parts[k] for k in keys),
-        heads["_resolved"].alias(island),
-        *(open_parts[n] for n in partial),
+    joined = null_safe_join(open_parts, heads, [*keys, SLICE]).select(
+        *keys, F.col("_resolved").alias(island), *partial
     )
     closed = parts.where(F.col("_local").isNotNull()).select(
         *keys, F.col("_local").alias(island), *partial
@@ -136,6 +144,90 @@ def islands(
     )
 
 
+def sessions(
+    df: DataFrame,
+    keys: list[str],
+    position: Column,
+    horizon: int,
+    width: int,
+    fields: list[str],
+    opens: Callable[[Column], Column],
+    values: Callable[[Column], dict[str, Column]],
+    partial: dict[str, Column],
+    merge: dict[str, Column],
+    tie: tuple[str, ...] = (),
+    island: str = "island",
+) -> DataFrame:
+    """Islands whose rows are linked only when at most `horizon` apart; one full shuffle.
+
+    `position` is a long (microseconds, bytes). Rows within `horizon` of the end of a slice
+    are repeated in the next slice as context, so every row sees the row it may be linked to.
+    `opens(prev)` decides whether a row starts an island, `values(prev)` adds row columns
+    (prev is null when the row starts one), `partial`/`merge` aggregate as in `islands`.
+    """
+    assert horizon <= width
+    at = F.floor(F.col("_pos") / F.lit(width))
+    near_end = F.col("_pos") >= (at + 1) * width - horizon
+    copies = F.when(near_end, F.array(at, at + 1)).otherwise(F.array(at))
+    spread = (
+        df.withColumn("_pos", position)
+        .withColumn(SLICE, F.explode(copies))
+        .withColumn("_own", F.col(SLICE) == at)
+    )
+    inner = Window.partitionBy(*keys, SLICE).orderBy("_pos", *tie)
+    upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    linked = spread.withColumn("_prev", F.lag(F.struct(*fields)).over(inner))
+    first = F.col("_prev").isNull() | opens(F.col("_prev"))
+    linked = (
+        linked.withColumn("_opens", F.when(F.col("_own") & first, F.col("_pos")))
+        .withColumn("_local", F.max("_opens").over(upto))
+        .where("_own")
+        .withColumn("prev", F.when(F.col("_opens").isNull(), F.col("_prev")))
+    )
+    linked = linked.withColumns(values(F.col("prev")))
+    parts = linked.groupBy(*keys, SLICE, "_local").agg(*(c.alias(n) for n, c in partial.items()))
+    last_open = parts.groupBy(*keys, SLICE).agg(F.max("_local").alias("_lo"))
+    before = (
+        Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = last_open.select(*keys, SLICE, F.max("_lo").over(before).alias("_carry"))
+    # at most one part without an opening row per (key, slice)
+    open_parts = parts.where(F.col("_local").isNull()).drop("_local")
+    continued = null_safe_join(open_parts, carry, [*keys, SLICE]).select(
+        *keys, F.col("_carry").alias(island), *partial
+    )
+    closed = parts.where(F.col("_local").isNotNull()).select(
+        *keys, F.col("_local").alias(island), *partial
+    )
+    return (
+        closed.unionByName(continued)
+        .groupBy(*keys, island)
+        .agg(*(c.alias(n) for n, c in merge.items()))
+    )
+
+
+def island_rows(
+    df: DataFrame,
+    keys: list[str],
+    seq: str,
+    fields: list[str],
+    starts: Callable[[Column], Column],
+    slice_by: Column,
+    island: str = "island",
+) -> DataFrame:
+    """Rows labelled with the `seq` of the first row of their island (keys must not be null).
+
+    The rows stay partitioned by (keys, slice); only one resolved row per slice joins in.
+    """
+    marked = _mark(df, keys, seq, fields, starts, slice_by)
+    heads = _resolve_heads(marked, keys, seq, fields, starts)
+    return (
+        marked.join(heads, [*keys, SLICE], "left")
+        .withColumn(island, F.coalesce("_local", "_resolved"))
+        .select(*df.columns, island)
+    )
+
+
 def running_rank(
     df: DataFrame, keys: list[str], order: list[str], slice_by: Column, name: str = "rank"
 ) -> DataFrame:
@@ -150,9 +242,8 @@ def running_rank(
         *keys, SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     local = base.withColumn("_local", F.row_number().over(inner))
-    return local.join(offsets, same_key(local, offsets, [*keys, SLICE]), "inner").select(
-        *(local[c] for c in df.columns),
-        (local["_local"] + offsets["_before"]).alias(name),
+    return null_safe_join(local, offsets, [*keys, SLICE]).select(
+        *df.columns, (F.col("_local") + F.col("_before")).alias(name)
     )
 
 
@@ -174,12 +265,12 @@ def value_at_rank(
         *keys, "_bin", "_bn", F.coalesce(F.sum("_bn").over(upto), F.lit(0)).alias("_lo")
     )
     hit = (
-        spans.join(ranks, same_key(spans, ranks, keys), "inner")
-        .where((ranks["rank"] > spans["_lo"]) & (ranks["rank"] <= spans["_lo"] + spans["_bn"]))
-        .select(*(spans[k] for k in keys), spans["_bin"], spans["_lo"], ranks["rank"])
+        null_safe_join(ranks.select(*keys, "rank"), spans, keys)
+        .where((F.col("rank") > F.col("_lo")) & (F.col("rank") <= F.col("_lo") + F.col("_bn")))
+        .select(*keys, "_bin", "_lo", "rank")
     )
-    cand = binned.join(hit, same_key(binned, hit, [*keys, "_bin"]), "inner").select(
-        *(hit[k] for k in keys), hit["rank"], hit["_lo"], binned[value], binned["_n"]
+    cand = null_safe_join(hit, binned, [*keys, "_bin"]).select(
+        *keys, "rank", "_lo", value, "_n"
     )
     within = Window.partitionBy(*keys, "rank").orderBy(value)
     upto_value = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)

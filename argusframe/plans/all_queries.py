@@ -1,4 +1,10 @@
 """Importing this module registers every query."""
 
-from argusframe.plans import incident_queries  # noqa: F401
+from argusframe.plans import (  # noqa: F401
+    activity_queries,
+    casework_queries,
+    incident_queries,
+    search_queries,
+    trajectory_queries,
+)
 from argusframe.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -32,3 +34,21 @@ def local_session(app: str = "argusframe", cores: str = "8") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder named by `spark.checkpoint.dir`; a temporary one only where it is unset."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = named or tempfile.mkdtemp(prefix="argusframe-checkpoint-")
+    sc.setCheckpointDir(folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that several branches reuse to the checkpoint folder and read it back."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
