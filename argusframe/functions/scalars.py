@@ -143,13 +143,30 @@ def printable_runs(text: Column, min_length: int = 6) -> Column:
     return F.regexp_extract_all(text, F.lit("([ -~]{%d,})" % min_length), F.lit(1))
 
 
+def fixed(x: Column, digits: int = 1) -> Column:
+    """Non-negative double as text with a fixed number of decimals.
+
+    Rounds the exact binary value, half to even, as C and Python formatting do; the built-in
+    formatter rounds the shortest decimal form half up. The product with the scale is split
+    in two exact halves so that the comparison with the midpoint is exact.
+    """
+    scale = 10.0**digits
+    big = x * F.lit(134217729.0)
+    hi = big - (big - x)
+    lo = x - hi
+    low = F.floor(x * scale).cast("double")
+    off = (hi * (2 * scale) - (2 * low + 1)) + lo * (2 * scale)
+    up = F.when(off > 0, 1.0).when(off < 0, 0.0).otherwise(F.pmod(low, F.lit(2.0)))
+    return F.format_string(f"%.{digits}f", (low + up) / F.lit(scale))
+
+
 def human_size(size_bytes: Column) -> Column:
     size = size_bytes.cast("double")
     out = F.concat(size_bytes.cast("bigint").cast("string"), F.lit(" B"))
     for power in range(1, len(SIZE_UNITS)):
         unit = float(1024**power)
         out = F.when(
-            size >= unit, F.format_string("%.1f " + SIZE_UNITS[power], size / F.lit(unit))
+            size >= unit, F.concat(fixed(size / F.lit(unit)), F.lit(" " + SIZE_UNITS[power]))
         ).otherwise(out)
     return out
 

@@ -529,14 +529,14 @@ def digest_items(events: DataFrame) -> DataFrame:
     d = _digest_flags(events)
     s, e = F.date_format("start_time", "HH:mm:ss"), F.date_format("end_time", "HH:mm:ss")
     name = F.coalesce("entity_id", F.concat("_obj", F.lit("#unknown")))
-    secs = F.format_string("%.1f", F.round("_dur", 1))
+    secs = S.fixed(F.col("_dur"))
     linger_line = F.concat(
         F.lit("- **"), name, F.lit("**: Loitering for "), secs, F.lit("s (`"), s, F.lit("` - `"),
         e, F.lit("` on "), F.col("camera_id"), F.lit(")"),
     )
     move_line = F.concat(
         F.lit("- **"), name, F.lit("**: "), F.col("_direction"), F.lit(" at ~"),
-        F.format_string("%.1f", F.round(F.coalesce("avg_speed", F.lit(0.0)), 1)),
+        S.fixed(F.coalesce("avg_speed", F.lit(0.0))),
         F.lit(" px/s (`"), s, F.lit("` - `"), e, F.lit("`)"),
     )
     flag_line = F.concat(F.lit("- `["), s, F.lit("]` **"), F.col("event_type"), F.lit("**"))

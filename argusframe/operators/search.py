@@ -231,9 +231,9 @@ def span_line(seconds_format: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.concat(
         F.lit("- "), F.upper("object_type"), F.lit(" #"), F.col("track_id"), F.lit(" on "),
         F.col("camera_id"), F.lit(": "), F.date_format("start_time", seconds_format), F.lit(" -> "),
-        F.date_format("end_time", seconds_format), F.lit(" ("), F.format_string("%.1f", "duration_s"),
+        F.date_format("end_time", seconds_format), F.lit(" ("), S.fixed(F.col("duration_s")),
         F.lit("s, "), F.col("observation_count").cast("string"), F.lit(" frames), Heading: "),
-        F.col("direction"), F.lit(", Speed: "), F.format_string("%.1f", "avg_speed"), F.lit("px/s"),
+        F.col("direction"), F.lit(", Speed: "), S.fixed(F.col("avg_speed")), F.lit("px/s"),
         F.when(F.col("is_loitering"), F.lit(" [LOITERING]")).otherwise(F.lit("")),
     )
 

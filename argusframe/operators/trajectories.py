@@ -429,11 +429,11 @@ def scene_summary(
             *SCENE,
             (F.col("rn") + 3).alias("rn"),
             F.format_string(
-                "Tracked %s #%d moving %s (speed %.1f px/s)",
+                "Tracked %s #%d moving %s (speed %s px/s)",
                 "object_type",
                 "track_id",
                 "direction",
-                "avg_speed",
+                S.fixed(F.col("avg_speed")),
             ).alias("line"),
         )
     )

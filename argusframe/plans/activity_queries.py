@@ -191,8 +191,8 @@ _S, _E = "strftime(start_time,'%H:%M:%S')", "strftime(end_time,'%H:%M:%S')"
 @query(
     "digest_items",
     f"""WITH {DIGEST}
-SELECT video_id, start_time, 'loitering' AS section, '- **' || {_NAME} || '**: Loitering for ' || printf('%.1f', round(dur,1)) || 's (`' || {_S} || '` - `' || {_E} || '` on ' || camera_id || ')' AS line FROM dg WHERE linger
-UNION ALL SELECT video_id, start_time, 'movement', '- **' || {_NAME} || '**: ' || dir || ' at ~' || printf('%.1f', round(spd,1)) || ' px/s (`' || {_S} || '` - `' || {_E} || '`)' FROM dg WHERE moves
+SELECT video_id, start_time, 'loitering' AS section, '- **' || {_NAME} || '**: Loitering for ' || printf('%.1f', dur) || 's (`' || {_S} || '` - `' || {_E} || '` on ' || camera_id || ')' AS line FROM dg WHERE linger
+UNION ALL SELECT video_id, start_time, 'movement', '- **' || {_NAME} || '**: ' || dir || ' at ~' || printf('%.1f', spd) || ' px/s (`' || {_S} || '` - `' || {_E} || '`)' FROM dg WHERE moves
 UNION ALL SELECT video_id, start_time, 'review', '- `[' || {_S} || ']` **' || event_type || '**' FROM dg WHERE review""",
 )
 def digest_items(spark, sf):

@@ -2,8 +2,10 @@
 
 from argusframe.plans import (  # noqa: F401
     activity_queries,
+    box_queries,
     casework_queries,
     incident_queries,
+    integrity_queries,
     search_queries,
     trajectory_queries,
 )
