@@ -121,28 +121,6 @@ def contains_any(text: Column, markers: list[str]) -> Column:
     return reduce(lambda x, y: x | y, hits, F.lit(False))
 
 
-def find_all(text: Column, marker: str) -> Column:
-    """0-based offsets of the non-overlapping occurrences of a marker in a string."""
-    pieces = F.split(text, "\\Q" + marker + "\\E")
-    step = len(marker)
-    ends = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p) + step).alias("at"),
-            F.array_append(acc["hits"], acc["at"] + F.length(p)).alias("hits"),
-        ),
-        lambda acc: acc["hits"],
-    )
-    # the end of the text is not an occurrence
-    return F.slice(ends, F.lit(1), F.size(ends) - 1)
-
-
-def printable_runs(text: Column, min_length: int = 6) -> Column:
-    """Runs of printable ASCII of at least `min_length` characters."""
-    return F.regexp_extract_all(text, F.lit("([ -~]{%d,})" % min_length), F.lit(1))
-
-
 def fixed(x: Column, digits: int = 1) -> Column:
     """Non-negative double as text with a fixed number of decimals.
 

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from argusframe.functions import geometry as G
 from argusframe.operators import vocab
 from argusframe.operators.grid import near_box_pairs
-from argusframe.operators.slicing import null_safe_join
+from argusframe.operators.slicing import next_after
 
 FRAME = ["video_id", "camera_id", "frame_number"]
 BOX = ["x1", "y1", "x2", "y2"]
@@ -437,68 +436,8 @@ def stride_sample(frames: DataFrame, sample_fps: float) -> DataFrame:
 def interval_sample(
     frames: DataFrame, sample_fps: float, slice_seconds: float = 600.0
 ) -> DataFrame:
-    """Frames at least one interval after the last kept one.
-
-    Which frames are kept depends on the frame kept before, so each time slice is walked for
-    every frame it could be entered at (those of its first interval); the walks are
-    chained over the slices of a video, and a last pass emits the frames of the true walk.
-    Groups are one slice, or one short row per possible entry of a slice.
-    """
-    interval = 1.0 / sample_fps
-    assert slice_seconds >= interval
-    cut = frames.select("video_id", "frame_number", "pts").withColumn(
-        "_slice", F.floor(F.col("pts") / slice_seconds)
-    )
-
-    def walk(pts, start: int):
-        i = start
-        while True:
-            yield i
-            j = int(pts.searchsorted(pts[i] + interval, side="left"))
-            if j >= len(pts):
-                return
-            i = j
-
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pts", "frame_number"])
-        pts = pdf["pts"].to_numpy()
-        last_entry = int(pts.searchsorted(pts[0] + interval, side="left"))
-        out = []
-        for e in range(max(1, last_entry + 1)):
-            if e >= len(pts):
-                break
-            end = None
-            for i in walk(pts, e):
-                end = i
-            out.append((pdf["video_id"].iloc[0], pdf["_slice"].iloc[0], pts[e], pts[end] + interval))
-        return pd.DataFrame(out, columns=["video_id", "_slice", "entry_pts", "next_pts"])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_slice", "entry_pts"])
-        out, due = [], None
-        for s, part in pdf.groupby("_slice", sort=True):
-            pts = part["entry_pts"].to_numpy()
-            k = 0 if due is None else int(pts.searchsorted(due, side="left"))
-            if k >= len(pts):
-                continue
-            out.append((part["video_id"].iloc[0], s, pts[k]))
-            due = part["next_pts"].to_numpy()[k]
-        return pd.DataFrame(out, columns=["video_id", "_slice", "entry_pts"])
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pts", "frame_number"]).reset_index(drop=True)
-        pts = pdf["pts"].to_numpy()
-        start = int(pts.searchsorted(pdf["entry_pts"].iloc[0], side="left"))
-        return pdf.iloc[list(walk(pts, start))][["video_id", "frame_number", "pts"]]
-
-    possible = cut.groupBy("video_id", "_slice").applyInPandas(
-        entries, "video_id STRING, _slice BIGINT, entry_pts DOUBLE, next_pts DOUBLE"
-    )
-    actual = possible.groupBy("video_id").applyInPandas(
-        chain, "video_id STRING, _slice BIGINT, entry_pts DOUBLE"
-    )
-    return (
-        null_safe_join(cut, actual, ["video_id", "_slice"])
-        .groupBy("video_id", "_slice")
-        .applyInPandas(emit, "video_id STRING, frame_number BIGINT, pts DOUBLE")
-    )
+    """Frames at least one interval after the last kept one."""
+    rows = frames.select("video_id", "frame_number", "pts")
+    kept = next_after(rows, ["video_id"], "pts", 1.0 / sample_fps, slice_seconds)
+    first = rows.groupBy("video_id", "pts").agg(F.min("frame_number").alias("frame_number"))
+    return first.join(kept, ["video_id", "pts"]).select("video_id", "frame_number", "pts")

@@ -8,9 +8,13 @@ of edge rows is bounded by the extent of the key divided by the slice width, not
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICE = "_slice"
@@ -247,6 +251,106 @@ def running_rank(
     )
 
 
+def running_max(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    value: str,
+    slice_by: Column,
+    name: str,
+    strict: bool = False,
+) -> DataFrame:
+    """Largest `value` of the rows up to each row (before it, when `strict`) within its key."""
+    inner = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    frame = inner.rowsBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow)
+    base = df.withColumn(SLICE, slice_by)
+    tops = base.groupBy(*keys, SLICE).agg(F.max(value).alias("_top"))
+    before = (
+        Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = tops.select(*keys, SLICE, F.max("_top").over(before).alias("_carry"))
+    local = base.withColumn("_local", F.max(value).over(frame))
+    return null_safe_join(local, carry, [*keys, SLICE]).select(
+        *(c for c in df.columns if c != name), F.greatest("_local", "_carry").alias(name)
+    )
+
+
+def next_after(
+    df: DataFrame, keys: list[str], at: str, interval: float, slice_width: float
+) -> DataFrame:
+    """Positions visited when each visit is the first one at least `interval` past the last.
+
+    Returns the distinct `keys` and `at` (as double) of the visited rows. The walk depends on
+    the visit before, so each slice is walked for every position it could be entered at (those
+    within its first interval), the walks are chained over the slices of a key, and a last
+    pass emits the true walk. A group is one slice, or a short row per possible entry.
+    """
+    assert slice_width >= interval
+    schema = df.schema
+    types = ", ".join(f"{k} {schema[k].dataType.simpleString()}" for k in keys)
+    cut = df.select(*keys, F.col(at).cast("double").alias(at)).withColumn(
+        SLICE, F.floor(F.col(at) / F.lit(float(slice_width)))
+    )
+
+    def walk(pos, i):
+        while i < len(pos):
+            yield i
+            i = int(pos.searchsorted(pos[i] + interval, side="left"))
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos = np.unique(pdf[at].to_numpy())
+        last = min(len(pos) - 1, int(pos.searchsorted(pos[0] + interval, side="left")))
+        out = pd.DataFrame({"entry": pos[: last + 1]})
+        out["due"] = [pos[deque(walk(pos, e), maxlen=1)[0]] + interval for e in range(last + 1)]
+        for k in [*keys, SLICE]:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, SLICE, "entry", "due"]]
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        due, picked = -np.inf, []
+        for _, part in pdf.sort_values("entry").groupby(SLICE, sort=True):
+            k = int(part["entry"].to_numpy().searchsorted(due, side="left"))
+            if k < len(part):
+                picked.append(part.iloc[k])
+                due = part["due"].iloc[k]
+        return pd.DataFrame(picked)[[*keys, SLICE, "entry"]]
+
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos = np.unique(pdf[at].to_numpy())
+        start = int(pos.searchsorted(pdf["entry"].iloc[0], side="left"))
+        out = pd.DataFrame({at: pos[list(walk(pos, start))]})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, at]]
+
+    possible = cut.groupBy(*keys, SLICE).applyInPandas(
+        entries, f"{types}, {SLICE} BIGINT, entry DOUBLE, due DOUBLE"
+    )
+    actual = possible.groupBy(*keys).applyInPandas(chain, f"{types}, {SLICE} BIGINT, entry DOUBLE")
+    return (
+        null_safe_join(cut, actual, [*keys, SLICE])
+        .groupBy(*keys, SLICE)
+        .applyInPandas(emit, f"{types}, {at} DOUBLE")
+    )
+
+
+def overlap_clusters(
+    df: DataFrame, keys: list[str], start: str, end: str, slice_by: Column, name: str = "cluster"
+) -> DataFrame:
+    """Label intervals by runs in which each one overlaps something before it.
+
+    A row that starts at or after every earlier end depends on none of them, so the runs can
+    be folded apart.
+    """
+    order = [start, end]
+    seen = running_max(df, keys, order, end, slice_by, "_reach", strict=True)
+    marked = seen.withColumn(
+        "_open",
+        F.when(F.col("_reach").isNull() | (F.col(start) >= F.col("_reach")), F.col(start)),
+    )
+    return running_max(marked, keys, order, "_open", slice_by, name).drop("_reach", "_open")
+
+
 def value_at_rank(
     df: DataFrame, keys: list[str], value: str, ranks: DataFrame, bin_width: float
 ) -> DataFrame:

@@ -201,8 +201,8 @@ def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
             """CASE event_type WHEN 'click' THEN 240 WHEN 'view' THEN 253
                 WHEN 'purchase' THEN 241 ELSE 252 END AS frame_type""",
             "length",
-            """CASE WHEN pmod(user_id, 11) = 0 THEN 0 ELSE
-                (year(t) - 2000) * 67108864 + month(t) * 4194304 + day(t) * 131072
+            """CASE WHEN pmod(user_id, 11) = 0 THEN 0L ELSE
+                CAST(year(t) - 2000 AS BIGINT) * 67108864 + month(t) * 4194304 + day(t) * 131072
                 + hour(t) * 4096 + minute(t) * 64 + second(t) END AS date_raw""",
         )
     )
