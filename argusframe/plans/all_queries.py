@@ -8,6 +8,7 @@ from argusframe.plans import (  # noqa: F401
     incident_queries,
     integrity_queries,
     search_queries,
+    stream_queries,
     tracking_queries,
     trajectory_queries,
 )

@@ -19,9 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-frame object detections: eight object slots per frame, fifty frames per video."""
+    return detections_of(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def detections_of(events: DataFrame) -> DataFrame:
+    """The detections view over a batch or streaming event table."""
     base = (
-        table(spark, sf_dir, "events")
-        .selectExpr(
+        events.selectExpr(
             "event_id AS n",
             "CAST(pmod(event_id, 8) AS INT) AS slot",
             "CAST(floor(event_id / 8) AS BIGINT) AS frame_number",
