@@ -36,6 +36,7 @@ def near_box_pairs(
     keys: list[str],
     margin: float = 0.0,
     cell: float = CELL_PX,
+    self_join: bool = False,
 ) -> DataFrame:
     """Pairs of rows with equal `keys` whose boxes are at most `2*margin` apart per axis.
 
@@ -50,7 +51,9 @@ def near_box_pairs(
         *(F.col(k) for k in [*keys, "_gx", "_gy"]),
         *(F.col(c).alias(f"b_{c}") for c in right.columns if c not in keys),
     )
-    joined = a.join(b, [*keys, "_gx", "_gy"], "inner")
+    # two readings of one table grow alike with the data, so neither side is broadcast
+    alike = self_join or left is right
+    joined = (a.hint("merge") if alike else a).join(b, [*keys, "_gx", "_gy"], "inner")
     pa, pb = box("a_"), box("b_")
     touch = (
         (F.greatest(pa.x1, pb.x1) - F.least(pa.x2, pb.x2) <= 2 * margin)

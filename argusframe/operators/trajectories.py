@@ -203,7 +203,8 @@ def person_convergence(
     )
     dist = G.norm(F.col("a_cx") - F.col("b_cx"), F.col("a_cy") - F.col("b_cy"))
     pairs = (
-        left.join(right, [*SCENE, "tb", "cell"])
+        left.hint("merge")
+        .join(right, [*SCENE, "tb", "cell"])
         .where(F.col("a_track_id") < F.col("b_track_id"))
         .where(F.abs(F.col("a_us") - F.col("b_us")) <= int(BAND_S * 1_000_000))
         .withColumn("distance", dist)
@@ -311,7 +312,7 @@ def vehicle_collision(
     a, b = G.box("a_"), G.box("b_")
     together = F.abs(F.col("a_us") - F.col("b_us")) <= band
     candidates = (
-        near_box_pairs(spread, single, [*SCENE, "tb"], max_px / 2)
+        near_box_pairs(spread, single, [*SCENE, "tb"], max_px / 2, self_join=True)
         .where((F.col("a_track_id") < F.col("b_track_id")) & together)
         .where((G.iou_floored(a, b) >= min_iou) | (G.center_distance(a, b) <= max_px))
         .select(*SCENE, F.col("a_track_id").alias("t1"), F.col("b_track_id").alias("t2"))

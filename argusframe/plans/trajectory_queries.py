@@ -98,7 +98,7 @@ CONV = f"""cv AS (SELECT a.video_id, a.camera_id, a.track_id AS track_a, b.track
     "confidence distance",
 )
 def person_convergence(spark, sf):
-    return TJ.person_convergence(X.detections(spark, sf), tracks(spark, sf))
+    return TJ.person_convergence(X.detections(spark, sf), materialize(tracks(spark, sf)))
 
 
 COORD = f"""SELECT a.video_id, a.camera_id, 'SUSPECT_VEHICLE_COORDINATION' AS event_type, make_timestamp(least(a.us0,b.us0)) AS start_time,
