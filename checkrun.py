@@ -1,15 +1,18 @@
 """Compare registered queries with their SQL on one scale factor.
 
 usage: python checkrun.py [sf_dir] [name ...]
+PLAIN_SESSION=1 uses a session with Spark's own defaults.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
 import duckdb
+from pyspark.sql import SparkSession
 
 import argusframe.plans.all_queries as A
 from argusframe.sources.session import local_session
@@ -44,7 +47,10 @@ def rows_of(cols, rows):
 def main(argv):
     sf = argv[0] if argv else "/root/testdata/sf0.001"
     names = argv[1:] or list(A.QUERIES)
-    spark = local_session("checkrun")
+    if os.environ.get("PLAIN_SESSION"):
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = local_session("checkrun")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
