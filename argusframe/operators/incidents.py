@@ -389,8 +389,18 @@ def robbery(
     same_gap = F.col("a_prev.frame_number") == F.col("b_prev.frame_number")
     direct = side(movers, "a_").join(side(shrunk, "b_"), FRAME).where(ordered & same_gap)
 
-    maybe = rows.where(G.area(G.box()) <= shrink * F.greatest(F.lit(1.0), F.col("max_area")))
-    uneven = side(rows, "a_").join(side(maybe, "b_"), FRAME).where(ordered & ~same_gap)
+    # different gaps mean that one of the two was missing from the frame's latest previous one
+    late = F.col("prev.frame_number") < F.max("prev.frame_number").over(Window.partitionBy(*FRAME))
+    seen_late = rows.withColumn("_late", late)
+    maybe = G.area(G.box()) <= shrink * F.greatest(F.lit(1.0), F.col("max_area"))
+    either = [
+        (seen_late.where("_late"), seen_late.where(maybe)),
+        (seen_late.where("NOT _late"), seen_late.where(maybe & F.col("_late"))),
+    ]
+    uneven = reduce(
+        DataFrame.unionByName,
+        (side(x.drop("_late"), "a_").join(side(y.drop("_late"), "b_"), FRAME) for x, y in either),
+    ).where(ordered & ~same_gap)
     history = persons.select(
         *SCENE, "track_id", F.struct(*cell).alias("was"), F.col("frame_number").alias("g")
     )

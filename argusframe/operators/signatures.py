@@ -227,8 +227,8 @@ def marker_matches(texts: DataFrame, markers: DataFrame) -> DataFrame:
 
     A marker of five or more words is anchored on three of its inner words: a text that
     contains the marker has those words whole and in order. Texts meet markers by an
-    equi-join on the anchor, and containment is checked on the few pairs left. Shorter markers are compared
-    with every text.
+    equi-join on the anchor, and containment is checked on the few pairs left. Shorter markers, when there
+    are any, are anchored on their first characters.
 
     `texts`: text_id, text. `markers`: marker_id, marker.
     """
@@ -255,8 +255,33 @@ def marker_matches(texts: DataFrame, markers: DataFrame) -> DataFrame:
         .select("text_id", "marker_id")
     )
     short = m.where(F.size("_w") < 5).select("marker_id", "marker")
-    direct = texts.join(short, F.contains("text", F.col("marker"))).select("text_id", "marker_id")
-    return checked.unionByName(direct)
+    if short.isEmpty():
+        return checked
+    # short markers: anchored on their first three characters (or fewer)
+    heads = short.select("marker_id", F.substring("marker", 1, 3).alias("anchor"))
+    runs = texts.select(
+        "text_id",
+        F.explode(
+            F.array_distinct(
+                F.flatten(
+                    F.transform(
+                        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text"))),
+                        lambda i: F.array(
+                            *(F.substring(F.col("text"), i, F.lit(n)) for n in (1, 2, 3))
+                        ),
+                    )
+                )
+            )
+        ).alias("anchor"),
+    )
+    close = (
+        runs.join(heads, "anchor")
+        .join(texts, "text_id")
+        .join(short, "marker_id")
+        .where(F.contains("text", F.col("marker")))
+        .select("text_id", "marker_id")
+    )
+    return checked.unionByName(close)
 
 
 def best_match(matches: DataFrame, rules: DataFrame) -> DataFrame:

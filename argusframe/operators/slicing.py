@@ -283,7 +283,7 @@ def next_after(
     Returns the distinct `keys` and `at` (as double) of the visited rows. The walk depends on
     the visit before, so each slice is walked for every position it could be entered at (those
     within its first interval), the walks are chained over the slices of a key, and a last
-    pass emits the true walk. A group is one slice, or a short row per possible entry.
+    pass emits the true walk. A group is one slice, or the few exits of each slice of a key.
     """
     assert slice_width >= interval
     schema = df.schema
@@ -300,20 +300,22 @@ def next_after(
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         pos = np.unique(pdf[at].to_numpy())
         last = min(len(pos) - 1, int(pos.searchsorted(pos[0] + interval, side="left")))
-        out = pd.DataFrame({"entry": pos[: last + 1]})
+        out = pd.DataFrame({"upto": pos[: last + 1]})
         out["due"] = [pos[deque(walk(pos, e), maxlen=1)[0]] + interval for e in range(last + 1)]
+        # walks soon run together: one row per exit, valid up to its last entry
+        out = out.drop_duplicates("due", keep="last")
         for k in [*keys, SLICE]:
             out[k] = pdf[k].iloc[0]
-        return out[[*keys, SLICE, "entry", "due"]]
+        return out[[*keys, SLICE, "upto", "due"]]
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         due, picked = -np.inf, []
-        for _, part in pdf.sort_values("entry").groupby(SLICE, sort=True):
-            k = int(part["entry"].to_numpy().searchsorted(due, side="left"))
+        for _, part in pdf.sort_values("upto").groupby(SLICE, sort=True):
+            k = int(part["upto"].to_numpy().searchsorted(due, side="left"))
             if k < len(part):
-                picked.append(part.iloc[k])
+                picked.append((*(part[c].iloc[0] for c in [*keys, SLICE]), due))
                 due = part["due"].iloc[k]
-        return pd.DataFrame(picked)[[*keys, SLICE, "entry"]]
+        return pd.DataFrame(picked, columns=[*keys, SLICE, "entry"])
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         pos = np.unique(pdf[at].to_numpy())
@@ -324,7 +326,7 @@ def next_after(
         return out[[*keys, at]]
 
     possible = cut.groupBy(*keys, SLICE).applyInPandas(
-        entries, f"{types}, {SLICE} BIGINT, entry DOUBLE, due DOUBLE"
+        entries, f"{types}, {SLICE} BIGINT, upto DOUBLE, due DOUBLE"
     )
     actual = possible.groupBy(*keys).applyInPandas(chain, f"{types}, {SLICE} BIGINT, entry DOUBLE")
     return (
