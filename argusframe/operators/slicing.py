@@ -302,8 +302,8 @@ def next_after(
         last = min(len(pos) - 1, int(pos.searchsorted(pos[0] + interval, side="left")))
         out = pd.DataFrame({"upto": pos[: last + 1]})
         out["due"] = [pos[deque(walk(pos, e), maxlen=1)[0]] + interval for e in range(last + 1)]
-        # walks soon run together: one row per exit, valid up to its last entry
-        out = out.drop_duplicates("due", keep="last")
+        # walks soon run together: one row per run of entries with the same exit
+        out = out[out["due"] != out["due"].shift(-1)].copy()
         for k in [*keys, SLICE]:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, SLICE, "upto", "due"]]

@@ -154,3 +154,21 @@ def test_search_edge_values(spark):
     assert Q.search_events(ev, 1, [], min_confidence=0.1).count() == 1
     assert Q.intent_search(ev, "any bicycle?").count() == 2
     assert [r.object_type for r in Q.intent_search(ev, "which people?").collect()] == ["person"]
+
+
+def test_interval_jumps_against_a_plain_walk(spark):
+    from argusframe.operators.slicing import next_after
+
+    rng = random.Random(8)
+    rows = [(k, p) for k in ("a", "b") for p in sorted(rng.uniform(0, 60) for _ in range(150))]
+    df = spark.createDataFrame(rows, "k STRING, p DOUBLE")
+    for width in (1.3, 7.0, 100.0):
+        got = sorted((r.k, r.p) for r in next_after(df, ["k"], "p", 1.3, width).collect())
+        want = []
+        for k in ("a", "b"):
+            due = -1.0
+            for p in [p for q, p in rows if q == k]:
+                if p >= due:
+                    want.append((k, p))
+                    due = p + 1.3
+        assert got == want, width
