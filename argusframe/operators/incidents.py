@@ -15,6 +15,7 @@ from argusframe.functions import geometry as G, scalars as S
 from argusframe.operators import vocab
 from argusframe.operators.grid import near_box_pairs
 from argusframe.operators.slicing import lag_in_slices, sequence_key, time_slice
+from argusframe.sources.session import materialize
 
 SCENE = ["video_id", "camera_id"]
 FRAME = [*SCENE, "frame_number"]
@@ -373,6 +374,8 @@ def robbery(
         .join(seen, TRACK, "inner")
         .drop("points", "seq", "object_type", "det_id")
     )
+    # six branches read these rows; written once instead of sliced and lagged six times
+    rows = materialize(rows)
     own_dt = F.greatest(F.lit(0.05), S.seconds_between(F.col("ts"), F.col("prev.ts")))
     own_speed = G.center_distance(G.box(), G.box_of(F.col("prev"))) / own_dt
     own_before = G.area(G.box_of(F.col("prev")))
