@@ -101,9 +101,11 @@ def text_counts(documents: DataFrame) -> DataFrame:
 
 def _measures() -> dict[str, Column]:
     words = F.greatest(F.col("n_words"), F.lit(1))
+    # one repeated line says nothing about a text of a few lines
+    repeated = F.greatest(F.col("n_dup_lines") - 1, F.lit(0))
     return {
         "symbol_rate": F.col("n_symbols") / words,
-        "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "dup_line_rate": repeated / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_rate": F.col("n_repeat_words") / words,
         "word_length": F.col("word_chars") / words,
     }
