@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from argusframe.llm import bpe, quality
+from argusframe.llm import bpe, quality, secret_scan
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -41,3 +41,19 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("tokens", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("_spans")
+
+    def of(*kinds: str) -> Column:
+        return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+    base = of("assign", "access", "hex")
+    return secret_scan.scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secret_scan.digest(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.digest(spans).alias("spans"),
+    )
