@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from argusframe.llm import bpe, quality, secret_scan, toxicity
+from argusframe.llm import bpe, langid, quality, secret_scan, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -64,3 +64,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     )
+
+
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("doc_id").cast("string").cast("binary")
+    return langid.predict(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        (F.crc32(key) % 5 == 0).alias("held_out"),
+        F.col("_lang_pred").alias("lang_pred"),
+        F.col("_score").alias("score"),
+    )
