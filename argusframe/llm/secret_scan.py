@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "format")
@@ -231,16 +231,13 @@ def labelled_values(documents: DataFrame) -> DataFrame:
 
 def infer(values: DataFrame) -> dict[str, Automaton]:
     """One automaton per kind from its SAMPLE distinct values least in hash."""
-    mark = F.xxhash64("value")
-    automata = {}
-    for kind, name in enumerate(KINDS):
-        rows = values.where(F.col("kind") == kind).orderBy(mark, "value").limit(SAMPLE).collect()
-        if rows:
-            words: dict[str, int] = {}
-            for r in rows:
-                form = classes(r["value"])
-                words[form] = words.get(form, 0) + 1
-            automata[name] = Automaton(words)
+    least = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    rows = values.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= SAMPLE)
+    words: dict[int, dict[str, int]] = {}
+    for r in rows.select("kind", "rank", "value").orderBy("kind", "rank").collect():
+        own, form = words.setdefault(r["kind"], {}), classes(r["value"])
+        own[form] = own.get(form, 0) + 1
+    automata = {KINDS[k]: Automaton(own) for k, own in words.items()}
     return automata
 
 
