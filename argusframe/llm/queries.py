@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from argusframe.llm import bpe, langid, quality, secret_scan, toxicity
+from argusframe.llm import bpe, langid, packing, quality, secret_scan, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -75,3 +75,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_lang_pred").alias("lang_pred"),
         F.col("_score").alias("score"),
     )
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
