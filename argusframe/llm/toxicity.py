@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from argusframe.llm.words import pieces
+from argusframe.sources.session import materialize
 
 #: The letters that digits and symbols imitate.
 LEET = {
@@ -204,13 +205,14 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     order = F.xxhash64("doc_id")
     chosen = own.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC)
     chosen = chosen.unionByName(own.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
-    return documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
+    # the sample has at most SAMPLE_TOXIC + SAMPLE_CLEAN ids, so every machine can hold it
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Letter model from all texts; features and weights from the labelled sample."""
     letters = letter_model(documents)
-    rows = training_rows(documents, labels).repartition(48, F.xxhash64("text"))
+    rows = materialize(training_rows(documents, labels))
     counts = rows.mapInArrow(
         partial(_feature_counts, model=letters), "feature string, clean long, toxic long"
     )
