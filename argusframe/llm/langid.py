@@ -196,7 +196,8 @@ def training_sample(documents: DataFrame) -> list:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = trainable(documents).select("lang", "doc_id").withColumn("rank", F.row_number().over(order))
     ids = ids.where(F.col("rank") <= SAMPLE).select("doc_id").distinct()
-    rows = trainable(documents).select("doc_id", "lang", "text").join(ids, "doc_id")
+    # SAMPLE ids a language: every machine can hold them
+    rows = trainable(documents).select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
     return rows.select("doc_id", "lang", "text").collect()
 
 
