@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from argusframe.llm import (
-    bpe, langid, neardup, packing, quality, secret_scan, substrings, topk, toxicity,
+    bpe, langid, lm, neardup, packing, quality, secret_scan, substrings, topk, toxicity,
 )
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,8 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.passages(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
