@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 #: Fixed value: the word pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -238,11 +238,11 @@ def encode(documents: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
     columns carried along; any other column is left out.
     """
     rows = documents.select(*keep, "text")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(partial(_encode, path=path), schema + "tokens binary")
+    schema = T.StructType(rows.schema.fields[:-1]).add("tokens", "binary")
+    return rows.mapInArrow(partial(_encode, path=path), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds `decoded`, the text of `tokens`; ill-formed byte sequences become U+FFFD."""
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.schema.fields)
-    return encoded.mapInArrow(partial(_decode, path=path), schema + "decoded string")
+    schema = T.StructType(list(encoded.schema.fields)).add("decoded", "string")
+    return encoded.mapInArrow(partial(_decode, path=path), schema)

@@ -14,7 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from argusframe.llm.words import SPACE, U64, Piece, pieces, span_hash
 
@@ -342,6 +342,6 @@ def predict(
         model = fit(documents)
     wanted = list(dict.fromkeys((*keep, "text")))
     rows = documents.select(*wanted)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields)
-    out = rows.mapInArrow(partial(_predict, model=model), schema + "_lang_pred string, _score double")
+    schema = T.StructType(list(rows.schema.fields)).add("_lang_pred", "string").add("_score", "double")
+    out = rows.mapInArrow(partial(_predict, model=model), schema)
     return out.select(*keep, "_lang_pred", "_score")

@@ -15,7 +15,9 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from argusframe.llm.words import with_text
 
 #: Kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "format")
@@ -283,8 +285,8 @@ def scan(
         automata = infer(labelled_values(documents))
     wanted = list(dict.fromkeys((*keep, "text")))
     rows = documents.select(*wanted)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields)
-    scanned = rows.mapInArrow(partial(_scan, automata=automata), f"{schema}_spans {SPAN}")
+    schema = T.StructType(list(rows.schema.fields)).add("_spans", T.DataType.fromDDL(SPAN))
+    scanned = rows.mapInArrow(partial(_scan, automata=automata), schema)
     return scanned.select(*keep, "_spans")
 
 
@@ -297,7 +299,10 @@ def digest(spans: Column) -> Column:
 
 def redact(documents: DataFrame, automata: dict[str, Automaton] | None = None) -> DataFrame:
     """Documents with the value of every secret replaced by [REDACTED], all rows kept."""
-    found = scan(documents, automata, tuple(documents.columns))
+    if automata is None:
+        automata = infer(labelled_values(documents))
+    whole = documents.select(F.struct("*").alias("whole"), "text")
+    found = scan(whole, automata, ("whole", "text"))
 
     def put(state: Column, span: Column) -> Column:
         start = F.greatest(span["value_start"], state["at"])
@@ -317,5 +322,4 @@ def redact(documents: DataFrame, automata: dict[str, Automaton] | None = None) -
         lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"].cast("int") + 1, F.length("text"))),
     )
     text = F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))
-    out = found.withColumn("text", text).drop("_spans")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+    return with_text(found.withColumn("text", text), documents.columns)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 PIECE_BYTES = 1 << 20
 U64 = np.uint64
@@ -130,3 +131,9 @@ def windows(values: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np
         total = total * U64(0xD1342543DE82EF95) + values[j : j + n]
     inside = row[:n] == row[k - 1 :]
     return mix(total[inside]), np.flatnonzero(inside)
+
+
+def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the struct `whole`, with the new `text`, and n_chars of it if there is one."""
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*(new.get(c, F.col(f"whole.`{c}`")).alias(c) for c in columns))
