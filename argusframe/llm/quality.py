@@ -48,7 +48,7 @@ def _lines(p: Piece) -> tuple[np.ndarray, np.ndarray]:
     breaks = np.flatnonzero(p.data == 10)
     start = np.unique(np.concatenate((p.offsets[:-1], breaks + 1)))
     start = start[start < len(p.data)]
-    end = np.append(start[1:], len(p.data))
+    end = np.append(start[1:], len(p.data))[: len(start)]
     end = end - (p.data[end - 1] == 10)
     first = np.searchsorted(p.start, start, "left")
     with_word = first < np.searchsorted(p.start, end, "left")

@@ -16,7 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from argusframe.llm.words import pieces
 from argusframe.sources.session import materialize
@@ -30,6 +30,8 @@ LEET = {
 SWAP, DROP, DROP_DIGIT, REPEAT, LITERAL = 0.2, 3.0, 8.0, 0.3, 6.0
 #: Bounds of the fitted sample: documents of each label; features of the model.
 SAMPLE_TOXIC, SAMPLE_CLEAN, FEATURES = 6000, 9000, 20_000
+#: Least likelihood ratio statistic of a feature.
+EVIDENCE = 20.0
 REMEMBERED = 150_000
 
 A = 28  # boundary, a-z, any other letter
@@ -209,6 +211,20 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
+def _evidence(toxic: Column, clean: Column, pos: int, neg: int) -> Column:
+    """Likelihood ratio statistic of a feature against independence of the label."""
+
+    def part(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+    total = F.lit(float(pos + neg))
+    present = toxic + clean
+    return 2 * (
+        part(toxic) + part(clean) + part(pos - toxic) + part(neg - clean) + part(total)
+        - part(present) - part(total - present) - part(F.lit(float(pos))) - part(F.lit(float(neg)))
+    )
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Letter model from all texts; features and weights from the labelled sample."""
     letters = letter_model(documents)
@@ -222,13 +238,14 @@ def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return ToxicityModel(letters, {}, math.log((pos + 0.5) / (neg + 0.5)))
-    odds = F.log((F.col("toxic") + 0.5) / (pos + 1.0)) - F.log((F.col("clean") + 0.5) / (neg + 1.0))
-    # deviation of the log odds in standard errors; weak evidence is no feature
-    sure = F.abs(odds) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     top = (
-        counts.where((F.col("toxic") + F.col("clean") >= 4) & (sure >= 4))
-        .orderBy(sure.desc(), "feature").limit(FEATURES).collect()
+        counts.where(F.col("toxic") + F.col("clean") >= 4)
+        .withColumn("evidence", _evidence(F.col("toxic"), F.col("clean"), pos, neg))
+        .where(F.col("evidence") >= EVIDENCE)
+        .orderBy(F.col("evidence").desc(), "feature").limit(FEATURES).collect()
     )
+    if not top:
+        return ToxicityModel(letters, {}, math.log((pos + 0.5) / (neg + 0.5)))
     number = {r["feature"]: i for i, r in enumerate(top)}
     found = rows.mapInArrow(
         partial(_chosen, model=letters, number=number), "toxic int, found array<int>"
