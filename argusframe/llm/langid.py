@@ -329,6 +329,15 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) ->
             )
 
 
+def label(documents: DataFrame, model: LanguageModel | None, keep: tuple[str, ...]) -> DataFrame:
+    """`keep` columns with `_lang_pred` and `_score` of `text`, by a fitted model."""
+    wanted = list(dict.fromkeys((*keep, "text")))
+    rows = documents.select(*wanted)
+    schema = T.StructType(list(rows.schema.fields)).add("_lang_pred", "string").add("_score", "double")
+    out = rows.mapInArrow(partial(_predict, model=model), schema)
+    return out.select(*keep, "_lang_pred", "_score")
+
+
 def predict(
     documents: DataFrame, model: LanguageModel | None = None, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
@@ -336,12 +345,6 @@ def predict(
 
     Null text, or one without a letter: und, 0. Null doc_id or lang: predicted, not learned from.
     No labelled document at all: und for every text. Empty table: no rows. Repeated rows: each is
-    predicted. Equal shares: the first language in order.
+    predicted. Equal shares: the first language in order. model: fitted on the documents if none.
     """
-    if model is None:
-        model = fit(documents)
-    wanted = list(dict.fromkeys((*keep, "text")))
-    rows = documents.select(*wanted)
-    schema = T.StructType(list(rows.schema.fields)).add("_lang_pred", "string").add("_score", "double")
-    out = rows.mapInArrow(partial(_predict, model=model), schema)
-    return out.select(*keep, "_lang_pred", "_score")
+    return label(documents, fit(documents) if model is None else model, keep)

@@ -188,7 +188,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     many = met.where(F.col("size") > SMALL_BUCKET)
     stars = many.select(F.col("own").alias("x"), F.col("lead").alias("y"))
     links = materialize(_confirmed(pairs(few.unionByName(stars)), documents, shingle, percent))
-    # rows of one doc_id are one document, so their sets are linked without a comparison
+    if not signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        links = materialize(links.unionByName(_one_document(sets, nodes)))
     reached = components(links)
 
     # what a large bucket still holds apart: sets outside the component of its least set
@@ -214,6 +215,16 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     return _labelled(signed, nodes, reached)
 
 
+def _one_document(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the sets of rows that repeat a doc_id: they are one document."""
+    named = sets.select("doc_id", "set1", "set2").join(
+        nodes.select("set1", "set2", F.col("doc_id").alias("node")), ["set1", "set2"]
+    )
+    named = named.select("doc_id", "node").distinct()
+    low = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high"))
+    return named.join(low.where("b < high"), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def _labelled(signed: DataFrame, nodes: DataFrame, reached: DataFrame) -> DataFrame:
     """One row per document row, with the component of its set."""
     named = nodes.join(reached, F.col("doc_id") == F.col("node"), "left").select(
