@@ -138,36 +138,48 @@ def intent_condition(question: str) -> Column:
     return _any(conds)
 
 
-def intent_search(events: DataFrame, question: str, cap: int = 10, default: int = 5) -> DataFrame:
-    """First matching events of a question, or the first events when none matches."""
-    matched = events.where(intent_condition(question))
-    top = by_start(matched).limit(cap)
-    some = matched.limit(1).select(F.lit(1).alias("_one"))
-    fallback = (
-        by_start(events).limit(default).withColumn("_one", F.lit(1)).join(some, "_one", "left_anti")
-    ).drop("_one")
-    return top.unionByName(fallback)
-
-
-def intent_count(events: DataFrame, question: str, default: int = 5) -> DataFrame:
+def _limited(rows: DataFrame, top: int | None) -> DataFrame:
+    """All rows in order of start, or the first `top` with the number of rows left out."""
+    if top is None:
+        return by_start(rows)
+    total = rows.agg(F.count(F.lit(1)).alias("_total"))
+    first = by_start(rows).limit(top).withColumn("_one", F.lit(1))
+    return first.join(total.withColumn("_one", F.lit(1)), "_one").select(
+        *rows.columns, F.greatest(F.lit(0), F.col("_total") - top).alias("overflow")
+    )
+
+
+def intent_search(events: DataFrame, question: str, top: int | None = None) -> DataFrame:
+    """Matching events of a question, or all events when none matches.
+
+    top: report only the first so many, and `overflow`, how many more there are.
+    """
+    condition = intent_condition(question)
+    some = events.where(condition).limit(1).select(F.lit(1).alias("_one"))
+    none = events.withColumn("_one", F.lit(1)).join(some, "_one", "left_anti").drop("_one")
+    return _limited(events.where(condition).unionByName(none), top)
+
+
+def intent_count(events: DataFrame, question: str) -> DataFrame:
     """Number of events a "how many" question reports."""
     counts = events.agg(
         F.count_if(intent_condition(question)).alias("m"), F.count(F.lit(1)).alias("n")
     )
     return counts.select(
-        F.when(F.col("m") > 0, F.col("m"))
-        .otherwise(F.least("n", F.lit(default)))
-        .alias("matched")
+        F.when(F.col("m") > 0, F.col("m")).otherwise(F.col("n")).alias("matched")
     )
 
 
-def word_match(events: DataFrame, question: str, cap: int = 10) -> DataFrame:
-    """First events whose type or object contains a word of the question (over 3 letters)."""
+def word_match(events: DataFrame, question: str, top: int | None = None) -> DataFrame:
+    """Events whose type or object contains a word of the question (over 3 letters).
+
+    top: report only the first so many, and `overflow`, how many more there are.
+    """
     words = [w for w in question.lower().split() if len(w) > 3]
     et = F.lower(F.coalesce("event_type", F.lit("none")))
     ot = F.lower(F.coalesce("object_type", F.lit("none")))
     cond = _any([F.contains(c, F.lit(w)) for w in words for c in (et, ot)])
-    return by_start(events.where(cond)).limit(cap)
+    return _limited(events.where(cond), top)
 
 
 def event_offsets(events: DataFrame, fps: float) -> DataFrame:
@@ -343,7 +355,7 @@ def entity_cards(events: DataFrame) -> DataFrame:
 
 
 def qa_tracks(events: DataFrame, cap_tracks: int = 8, cap_other: int = 10) -> DataFrame:
-    """Digest rows of a video: its first tracks, and its first untracked events."""
+    """Digest rows of a video: its first tracks and first untracked events, and how many more of each."""
     obj = F.coalesce("object_type", F.lit("object"))
     conf = F.coalesce("confidence", F.lit(0.0))
     at = F.unix_micros("start_time")
@@ -359,27 +371,21 @@ def qa_tracks(events: DataFrame, cap_tracks: int = 8, cap_other: int = 10) -> Da
             F.avg(speed).alias("mean_speed"),
         )
     )
-    first = Window.partitionBy("video_id").orderBy("us0", "object_type", "track_id")
-    top = tracked.withColumn("position", F.row_number().over(first)).where(
-        F.col("position") <= cap_tracks
-    )
+    top = top_with_overflow(tracked, ["video_id"], ["us0", "object_type", "track_id"], cap_tracks)
     clock = lambda c: F.date_format(F.timestamp_micros(c), "HH:mm:ss")
     rows = top.select(
         "video_id", F.lit("track").alias("kind"), "position", "object_type", "track_id",
         clock("us0").alias("first_seen"), clock("us1").alias("last_seen"), "n", "max_confidence", "mean_speed",
+        "overflow",
     )
-    order = Window.partitionBy("video_id").orderBy("us0", "object_type", "event_type")
-    other = (
-        events.where(F.col("track_id").isNull())
-        .select("video_id", obj.alias("object_type"), at.alias("us0"), conf.alias("max_confidence"), "event_type")
-        .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= cap_other)
-        .select(
-            "video_id", F.lit("event").alias("kind"), "position", F.col("event_type").alias("object_type"),
-            F.lit(None).cast("bigint").alias("track_id"), clock("us0").alias("first_seen"),
-            clock("us0").alias("last_seen"), F.lit(1).cast("bigint").alias("n"), "max_confidence",
-            F.lit(None).cast("double").alias("mean_speed"),
-        )
+    untracked = events.where(F.col("track_id").isNull()).select(
+        "video_id", obj.alias("object_type"), at.alias("us0"), conf.alias("max_confidence"), "event_type"
+    )
+    other = top_with_overflow(untracked, ["video_id"], ["us0", "object_type", "event_type"], cap_other).select(
+        "video_id", F.lit("event").alias("kind"), "position", F.col("event_type").alias("object_type"),
+        F.lit(None).cast("bigint").alias("track_id"), clock("us0").alias("first_seen"),
+        clock("us0").alias("last_seen"), F.lit(1).cast("bigint").alias("n"), "max_confidence",
+        F.lit(None).cast("double").alias("mean_speed"), "overflow",
     )
     return rows.unionByName(other)
 

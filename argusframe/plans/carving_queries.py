@@ -97,7 +97,7 @@ def lead_segments(spark, sf):
 @query(
     "marker_recordings",
     f"""WITH {HITS}, r AS (SELECT evidence_id, "offset", row_number() OVER (PARTITION BY evidence_id ORDER BY "offset") AS rn FROM hits WHERE kind='item')
-    SELECT evidence_id, rn-1 AS segment_index, "offset", printf('xm-%04d', rn-1) AS recording_id, 'ORIGINAL' AS recovery_status FROM r WHERE rn<=50""",
+    SELECT evidence_id, rn-1 AS segment_index, "offset", printf('xm-%04d', rn-1) AS recording_id, 'ORIGINAL' AS recovery_status FROM r""",
 )
 def marker_recordings(spark, sf):
     return K.marker_recordings(hits(spark, sf).where("kind = 'item'"))

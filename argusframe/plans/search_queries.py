@@ -97,7 +97,7 @@ _INTENT = "(contains(lower(event_type),'person') OR contains(coalesce(lower(obje
 
 @query(
     "intent_search",
-    f"WITH {VEV} SELECT {EV} FROM vev WHERE {_INTENT} ORDER BY s_us, event_id LIMIT 10",
+    f"WITH {VEV} SELECT {EV} FROM vev WHERE {_INTENT}",
     "confidence",
 )
 def intent_search(spark, sf):
@@ -106,7 +106,7 @@ def intent_search(spark, sf):
 
 @query(
     "intent_search_default",
-    f"WITH {VEV} SELECT {EV} FROM vev ORDER BY s_us, event_id LIMIT 5",
+    f"WITH {VEV} SELECT {EV} FROM vev",
     "confidence",
 )
 def intent_search_default(spark, sf):
@@ -121,7 +121,7 @@ def intent_count(spark, sf):
 @query(
     "word_match",
     f"""WITH {VEV} SELECT {EV} FROM vev WHERE contains(lower(event_type),'truck') OR contains(coalesce(lower(object_type),'none'),'truck')
-    OR contains(lower(event_type),'backpack') OR contains(coalesce(lower(object_type),'none'),'backpack') ORDER BY s_us, event_id LIMIT 10""",
+    OR contains(lower(event_type),'backpack') OR contains(coalesce(lower(object_type),'none'),'backpack')""",
     "confidence",
 )
 def word_match(spark, sf):
@@ -256,9 +256,10 @@ def entity_cards(spark, sf):
        avg(avg_speed) FILTER (avg_speed<>0) AS mean_speed FROM dev WHERE track_id IS NOT NULL GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY s, object_type, track_id) AS position FROM t),
     o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_time, object_type, event_type) AS position FROM dev WHERE track_id IS NULL)
-    SELECT video_id, 'track' AS kind, position, object_type, track_id, strftime(s,'%H:%M:%S') AS first_seen, strftime(e,'%H:%M:%S') AS last_seen, n, max_confidence, mean_speed
-    FROM r WHERE position<=8
-    UNION ALL SELECT video_id, 'event', position, event_type, NULL, strftime(start_time,'%H:%M:%S'), strftime(start_time,'%H:%M:%S'), 1, confidence, NULL FROM o WHERE position<=10""",
+    SELECT video_id, 'track' AS kind, position, object_type, track_id, strftime(s,'%H:%M:%S') AS first_seen, strftime(e,'%H:%M:%S') AS last_seen, n, max_confidence, mean_speed,
+       greatest(0, (SELECT count(*) FROM r AS a WHERE a.video_id=r.video_id)-8) AS overflow FROM r WHERE position<=8
+    UNION ALL SELECT video_id, 'event', position, event_type, NULL, strftime(start_time,'%H:%M:%S'), strftime(start_time,'%H:%M:%S'), 1, confidence, NULL,
+       greatest(0, (SELECT count(*) FROM o AS a WHERE a.video_id=o.video_id)-10) FROM o WHERE position<=10""",
     "max_confidence mean_speed",
 )
 def qa_tracks(spark, sf):

@@ -70,11 +70,9 @@ def relational_jdbc(
     )
 
 
-def detections_from_json(rows: DataFrame, column: str, start: Column) -> DataFrame:
-    """Typed detections from one JSON object per row, relative seconds made absolute."""
-    d = F.from_json(F.col(column), DETECTION_SCHEMA)
-    keep = [c for c in rows.columns if c != column]
-    return rows.withColumn("_d", d).select(
+def _typed_detections(rows: DataFrame, keep: list[str], start: Column) -> DataFrame:
+    """Typed detections from parsed objects in `_d`, relative seconds made absolute."""
+    return rows.select(
         *keep,
         "_d.frame_number",
         F.col("_d.class_name").alias("object_type"),
@@ -85,10 +83,20 @@ def detections_from_json(rows: DataFrame, column: str, start: Column) -> DataFra
     )
 
 
-def detection_files(spark: SparkSession, path: str, start: Column) -> DataFrame:
-    """Detections from JSON files (a list of objects, or one object per line)."""
-    raw = spark.read.schema(DETECTION_SCHEMA).option("multiLine", True).json(path)
-    return detections_from_json(raw.select(F.to_json(F.struct("*")).alias("line")), "line", start)
+def detections_from_json(rows: DataFrame, column: str, start: Column) -> DataFrame:
+    """Typed detections from one JSON object per row."""
+    parsed = rows.withColumn("_d", F.from_json(F.col(column), DETECTION_SCHEMA))
+    return _typed_detections(parsed, [c for c in rows.columns if c != column], start)
+
+
+def detection_files(
+    spark: SparkSession, path: str, start: Column, layout: str = "lines"
+) -> DataFrame:
+    """Detections from JSON files; layout: `lines` (an object per line) or `list` (one array)."""
+    if layout not in ("lines", "list"):
+        raise ValueError(f"layout is lines or list, not {layout}")
+    raw = spark.read.schema(DETECTION_SCHEMA).option("multiLine", layout == "list").json(path)
+    return _typed_detections(raw.select(F.struct("*").alias("_d")), [], start)
 
 
 def probe_rows(rows: DataFrame, column: str) -> DataFrame:

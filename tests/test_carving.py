@@ -171,3 +171,98 @@ def test_rates_and_packed_dates(spark):
     ok = (26 << 26) | (2 << 22) | (28 << 17) | (23 << 12) | (59 << 6) | 58
     dates = spark.createDataFrame([(0,), (bits,), (ok,)], "b BIGINT").select(S.packed_date(F.col("b"))).collect()
     assert [r[0] for r in dates] == [None, None, dt.datetime(2026, 2, 28, 23, 59, 58)]
+
+
+def plain(data):
+    return lambda o, n: bytes(data[o : o + n])
+
+
+def test_container_walks_end_inside_the_image():
+    from argusframe.operators import containers as C
+
+    ftyp = b"\x00\x00\x00\x14ftypisom" + b"\x00" * 8
+    for tail, end in [
+        (b"\x00\x00\x00\x01" + b"mdat" + b"\xff" * 8 + b"x" * 600, 20),  # 64-bit length beyond the image
+        (b"\x00\x00\x00\x01" + b"mdat" + b"\x00" * 8 + b"x" * 600, 20),  # 64-bit length of nothing
+        (b"\x00\x00\x00\x01" + b"\x67\x42\x00\x1f" + b"x" * 700, 20),  # a start code, not a box
+        (b"\x00\x00\x00\x01" + b"mdat" + (600).to_bytes(8, "big") + b"x" * 700, 620),
+        (b"\x00" * 4 + b"mdat" + b"x" * 90, 20),
+        (b"\x00\x00\x03\xe8mdat" + b"x" * 50, 20),  # cut off
+    ]:
+        data = ftyp + tail
+        assert C.extent("mp4", plain(data), 4, len(data))[:2] == (0, end)
+    whole = b"\x00\x00\x00\x00ftypisom" + b"x" * 50
+    assert C.extent("mp4", plain(whole), 4, len(whole)) == (0, len(whole), 1)
+    for told in (0, 5, 1 << 31):
+        flv = b"FLV\x01\x05" + told.to_bytes(4, "big") + b"\x00" * 4 + b"\x09\x00\x00\x04" + b"x" * 11
+        assert C.extent("flv", plain(flv), 0, len(flv)) == (0, 0, 0)
+
+
+def test_matroska_is_walked_by_its_own_lengths():
+    from argusframe.operators import containers as C
+
+    def element(name, body, wide=8):
+        return name + ((1 << 7 * wide) + len(body)).to_bytes(wide, "big") + body
+
+    header = element(b"\x1a\x45\xdf\xa3", b"\x42\x86\x81\x01", 1)
+    block = element(b"\xa3", b"b" * 3000, 2)
+    cluster = element(b"\x1f\x43\xb6\x75", element(b"\xe7", b"\x01", 1) + block * 5)
+    long = header + element(b"\x18\x53\x80\x67", cluster * 900)  # over 13 MB
+    assert C.extent("mkv", plain(long + b"junk" * 100), 0, len(long) + 400)[1] == len(long)
+    endless = header + b"\x18\x53\x80\x67\x01" + b"\xff" * 7 + cluster * 3
+    live = endless + b"\x1f\x43\xb6\x75\x01" + b"\xff" * 7 + element(b"\xe7", b"\x02", 1) + block
+    assert C.extent("mkv", plain(live + b"\x00" * 50), 0, len(live) + 50)[1] == len(live)
+    window = C.Window(plain(long), 64)
+    assert C.extent("mkv", window, 0, len(long))[1] == len(long)
+    cut = long[: len(long) // 2]
+    assert C.extent("mkv", plain(cut), 0, len(cut))[1] == len(cut)
+
+
+def index_image(tmp_path, links):
+    """An image whose index chain visits the given pages."""
+    img = bytearray(0x1000 * (max(links) + 2))
+    img[0x110:0x118] = b"HIKBTREE"
+    struct.pack_into("<Q", img, 0x158, 0x1000 * links[0])
+    for a, b in zip(links, [*links[1:], None]):
+        struct.pack_into("<I", img, 0x1000 * a + 0x10, 1)
+        struct.pack_into("<Q", img, 0x1000 * a + 0x20, 0xFFFFFFFFFFFFFFFF if b is None else 0x1000 * b)
+    path = tmp_path / "chain.img"
+    path.write_bytes(bytes(img))
+    return str(path)
+
+
+def test_index_chains_are_followed_to_their_end(spark, tmp_path):
+    def walked(links):
+        df = spark.createDataFrame([(1, index_image(tmp_path, links), 0x100)], "evidence_id BIGINT, path STRING, offset_index BIGINT")
+        return [(r.page, r.status) for r in K.index_pages(df).orderBy("page").collect()]
+
+    assert walked(list(range(1, 151))) == [(i, "page") for i in range(150)]
+    path = index_image(tmp_path, [1, 2, 3])
+    with open(path, "r+b") as f:  # the third page leads back to the second
+        f.seek(0x3020)
+        f.write(struct.pack("<Q", 0x2000))
+    df = spark.createDataFrame([(1, path, 0x100)], "evidence_id BIGINT, path STRING, offset_index BIGINT")
+    got = [(r.page, r.status) for r in K.index_pages(df).orderBy("page").collect()]
+    assert got == [(0, "page"), (1, "page"), (2, "page"), (3, "cycle")]
+
+
+def test_every_marker_is_a_recording(spark):
+    hits = spark.createDataFrame([(1, 100_000, 100 * i) for i in range(60)], "evidence_id BIGINT, size BIGINT, offset BIGINT")
+    got = K.marker_recordings(hits, slice_bytes=700).orderBy("offset").collect()
+    assert [r.segment_index for r in got] == list(range(60))
+
+
+def test_detection_files_of_both_layouts(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from argusframe.sources import readers
+
+    rows = [{"timestamp_seconds": i, "bbox": [1, 2, 3, 4], "frame_number": i, "class_name": "car", "confidence": 0.5, "track_id": 1} for i in range(3)]
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "list.json").write_text(json.dumps(rows, indent=1))
+    start = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    for layout in ("lines", "list"):
+        got = readers.detection_files(spark, str(tmp_path / f"{layout}.json"), start, layout)
+        assert sorted(r.frame_number for r in got.collect()) == [0, 1, 2]
