@@ -6,8 +6,8 @@ keys are all pairs of them, so HALVES * ROWS hashes serve HALVES * (HALVES - 1)
 
 Equal sets are one node from the start. In a table bucket of few sets all pairs are candidates;
 in a larger one every set is a candidate pair with the bucket's least set, which links a group of
-copies in linear time, and what is still apart afterwards is compared across the components, by
-sketches first.
+copies in linear time, and what is still apart afterwards is compared across the components, block
+by block, by sketches first.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,6 +31,8 @@ SMALL_BUCKET = 8
 #: Sets of a large bucket are compared in full if so many of SKETCH four-bit minimum hashes agree;
 #: at similarity 0.8 fewer do with probability 0.0002.
 SKETCH, LIKELY = 64, 40
+#: Documents of a block when the sets around a component are compared.
+BLOCK = 256
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, max(SKETCH, HALVES * ROWS), dtype=U64) | U64(1)
 
 
@@ -133,15 +136,67 @@ def _similar_size(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _agreeing(x: Column, y: Column) -> Column:
-    """How many four-bit fields of two sketches are equal."""
-    differ = F.lit(0)
-    for i in range(SKETCH // 16):
-        d = x[i].bitwiseXOR(y[i])
-        for k in (1, 2):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, k))
-        differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-    return F.lit(SKETCH) - differ
+def _links_of(
+    left: pd.DataFrame, right: pd.DataFrame, shingle: int, percent: int
+) -> pd.DataFrame:
+    """Links between two blocks of documents of different components, without listing the pairs."""
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        sketch = [np.stack(x["sketch"]).view(U64) for x in (left, right)]
+        size = [x["n"].to_numpy() for x in (left, right)]
+        place = [x["place"].to_numpy() for x in (left, right)]
+        number = [x["doc_id"].to_numpy() for x in (left, right)]
+        low = left["low"].iloc[0]
+        sets: list[dict[int, set]] = [{}, {}]
+
+        def full(side: int, frame: pd.DataFrame, i: int) -> set:
+            if i not in sets[side]:
+                sets[side][i] = _shingles(frame["text"].iat[i].encode(), shingle)
+            return sets[side][i]
+
+        for i in range(len(left)):
+            d = sketch[0][i] ^ sketch[1]
+            d |= d >> U64(1)
+            d |= d >> U64(2)
+            equal = SKETCH - np.bitwise_count(d & U64(0x1111111111111111)).sum(1, dtype=np.int64)
+            near = (equal >= LIKELY) & (place[1] != place[0][i])
+            near &= (place[1] == low) | (number[1] < number[0][i])
+            near &= 100 * np.minimum(size[0][i], size[1]) >= percent * np.maximum(size[0][i], size[1])
+            for j in np.flatnonzero(near).tolist():
+                x, y = full(0, left, i), full(1, right, j)
+                common = len(x & y)
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    found.append((number[0][i], number[1][j]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _across(apart: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links of the sets that large buckets hold beside their least component.
+
+    The sets around one component are dealt to blocks; every block of sets outside it meets every
+    block of all of them. Pairs are compared inside the blocks and only links leave.
+    """
+    texts = documents.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    around = apart.groupBy("low", "own").agg(F.first("at").alias("place"), F.first("sketch").alias("sketch"))
+    around = around.select("low", "own.*", "place", "sketch")
+    total = around.groupBy("low").agg(
+        F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("place") != F.col("low")) / BLOCK).alias("outside")
+    )
+    whole = around.join(total, "low").join(texts, ["doc_id", "mark"])
+    deal = F.xxhash64("doc_id", "mark")
+    columns = ["low", "doc_id", "n", "place", "sketch", "text"]
+    left = whole.where(F.col("place") != F.col("low")).select(
+        *columns, F.pmod(deal, F.col("outside")).alias("i"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"),
+    )
+    right = whole.select(
+        *(F.col(c).alias(c) for c in columns), F.pmod(deal, F.col("blocks")).alias("j"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("outside") - 1)).alias("i"),
+    )
+    key = ("low", "i", "j")
+    compare = lambda x, y: _links_of(x, y, shingle, percent)
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "a long, b long")
+    return met.distinct()
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -201,15 +256,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     apart = placed.join(spread.where("low < high").select("bucket", "low"), "bucket")
     sketched = nodes.select(F.struct("doc_id", "mark", F.col("n").cast("int").alias("n")).alias("own"), "sketch")
     apart = materialize(apart.join(sketched, "own"))
-    rest = apart.where("at <> low").select("bucket", F.col("own").alias("x"), F.col("at").alias("x_at"), F.col("sketch").alias("x_sketch"))
-    every = apart.select("bucket", F.col("own").alias("y"), F.col("at").alias("y_at"), "low", F.col("sketch").alias("y_sketch"))
-    across = rest.join(every, "bucket").where(
-        (F.col("x_at") != F.col("y_at")) & ((F.col("y_at") == F.col("low")) | (F.col("x") > F.col("y")))
-        & _similar_size(F.col("x.n"), F.col("y.n"), percent)
-        & (_agreeing(F.col("x_sketch"), F.col("y_sketch")) >= LIKELY)
-    )
-    more = _confirmed(pairs(across.select("x", "y")), documents, shingle, percent)
-    more = materialize(more)
+    more = materialize(_across(apart, documents, shingle, percent))
     if not more.isEmpty():
         reached = components(links.unionByName(more))
     return _labelled(signed, nodes, reached)
