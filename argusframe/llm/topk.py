@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PIVOTS = 32
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
-#: Candidates evaluated between two looks at the bound.
+#: Candidates evaluated before the first look at the bound; twice as many before each next one.
 BATCH = 256
 #: Above this, sums of products could leave the exact range of doubles.
 EXACT = 2.0**53
@@ -85,40 +85,44 @@ def search_block(
 ) -> tuple[list[np.ndarray], list[np.ndarray], int]:
     """Per query the ids and scores of its k best candidates; and how many were evaluated."""
     largest = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(q.shape[1], 1)
-    if largest >= EXACT:
-        q, c = q.astype(np.int64), c.astype(np.int64)
+    kind = np.float32 if largest < 2**24 else np.float64 if largest < EXACT else np.int64
     order = np.argsort(vec_id, kind="stable")
-    vec_id, c, c_pivot = vec_id[order], c[order], c_pivot[order]
-    columns = c_pivot.T.copy()
-    q_norm = (q.astype(float) ** 2).sum(1)
-    c_norm = (c.astype(float) ** 2).sum(1)
+    vec_id, c = vec_id[order], c[order]
+    columns = c_pivot[order].T.astype(np.float32)
+    q_pivot = q_pivot.astype(np.float32)
+    q_norm, c_norm = (q.astype(float) ** 2).sum(1), (c.astype(float) ** 2).sum(1)
+    # rounding of the distances may not hide a candidate
+    slack = 1 + 1e-6 * (c_norm + columns.max(0).astype(float) ** 2)
+    q, c = q.astype(kind), c.astype(kind)
     ids, scores, evaluated = [], [], 0
-    lower, gap = np.empty(len(c)), np.empty(len(c))
+    lower, gap = np.empty(len(c), np.float32), np.empty(len(c), np.float32)
     for i in range(len(q)):
-        np.abs(columns[0] - q_pivot[i, 0], out=lower)
-        for p in range(1, len(columns)):
-            np.abs(np.subtract(columns[p], q_pivot[i, p], out=gap), out=gap)
+        lower.fill(0)
+        for p, column in enumerate(columns):
+            np.abs(np.subtract(column, q_pivot[i, p], out=gap), out=gap)
             np.maximum(lower, gap, out=lower)
-        # rounding of the distances may not hide a candidate
-        slack = 1e-6 * (q_norm[i] + c_norm) + 1
-        bound = (q_norm[i] + c_norm - lower * lower) / 2 + slack
+        own = 1e-6 * (q_norm[i] + float(q_pivot[i].max()) ** 2)
+        bound = (q_norm[i] + c_norm - lower.astype(float) ** 2) / 2 + slack + own
         bound[vec_id == query_id[i]] = -np.inf
         best_id, best = np.zeros(0, np.int64), np.zeros(0, c.dtype)
-        left = np.arange(len(c))
+        left, batch = np.flatnonzero(bound > -np.inf), BATCH
         while len(left):
-            if len(left) > BATCH:
-                cut = np.argpartition(-bound[left], BATCH)
-                now, left = left[cut[:BATCH]], left[cut[BATCH:]]
+            if len(left) > batch:
+                cut = np.argpartition(-bound[left], batch)
+                now, left = left[cut[:batch]], left[cut[batch:]]
             else:
                 now, left = left, left[:0]
-            now = now[bound[now] > -np.inf]
             evaluated += len(now)
-            best_id = np.concatenate((best_id, vec_id[now]))
-            best = np.concatenate((best, c[now] @ q[i]))
+            score = c[now] @ q[i]
+            if len(best) == k:
+                good = score >= best[-1]
+                now, score = now[good], score[good]
+            best_id, best = np.concatenate((best_id, vec_id[now])), np.concatenate((best, score))
             top = np.lexsort((best_id, -best))[:k]
             best_id, best = best_id[top], best[top]
             if len(best) == k:
                 left = left[bound[left] >= best[-1]]
+            batch *= 2
         ids.append(best_id)
         scores.append(best)
     return ids, scores, evaluated
