@@ -376,16 +376,23 @@ def video_summary(activities: DataFrame, videos: DataFrame) -> DataFrame:
     kinds = list(HEADLINES)
     grouped = activities.groupBy("video_id").agg(
         F.min("start_time").alias("start_time"),
-        F.max_by("end_time", "start_time").alias("end_time"),
+        F.max(F.struct("start_time", "end_time")).alias("_last"),
         F.count(F.lit(1)).alias("event_count"),
         F.max("confidence").alias("confidence"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("objects")))).alias("objects"),
         *(has(k).alias(f"_has{i}") for i, k in enumerate(kinds)),
     )
     headline = F.lit(HEADLINES[kinds[-1]])
     for i in reversed(range(len(kinds) - 1)):
         headline = F.when(F.col(f"_has{i}"), HEADLINES[kinds[i]]).otherwise(headline)
+    # one entry per object type, however many activities name it
+    objects = (
+        activities.select("video_id", F.explode("objects").alias("object"))
+        .groupBy("video_id")
+        .agg(F.array_sort(F.collect_set("object")).alias("objects"))
+    )
+    grouped = grouped.withColumn("end_time", F.col("_last.end_time"))
     joined = videos.select("video_id").distinct().join(grouped, "video_id", "left")
+    joined = joined.join(objects, "video_id", "left")
     empty = F.col("event_count").isNull()
     return joined.select(
         "video_id",

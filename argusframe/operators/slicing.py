@@ -22,8 +22,15 @@ DEFAULT_SLICE_SECONDS = 900
 
 
 def sequence_key(ts: Column, row_id: Column) -> Column:
-    """One ordered long: microseconds, ties broken by the low bits of the row id."""
-    return F.unix_micros(ts) * 1024 + F.pmod(row_id, F.lit(1024))
+    """One number ordered by (time, row id): microseconds, then all 64 bits of the id.
+
+    A decimal, so it is unique where ids are, and still a fixed-width aggregation buffer.
+    """
+    wide = "decimal(38,0)"
+    low = F.lit(str(1 << 63)).cast(wide)
+    scale = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    us = F.unix_micros(ts).cast("decimal(18,0)")
+    return (us * scale + row_id.cast(wide) + low).cast(wide)
 
 
 def time_slice(ts: Column, seconds: float = DEFAULT_SLICE_SECONDS) -> Column:
@@ -124,7 +131,7 @@ def islands(
 ) -> DataFrame:
     """Group consecutive rows into islands; a row opens one when `starts(prev)` is true.
 
-    `seq` is a long column, unique and ordered within the key; the island is identified by
+    `seq` is a number column, unique and ordered within the key; the island is identified by
     the `seq` of its first row. `partial` are aggregates over rows, `merge` aggregates over
     the partial results of the same names. `prev` is a struct of `fields` of the row before.
     """

@@ -311,9 +311,9 @@ def _numbered(
     )
     ident = [*keys, "segment", "local_id"]
     born = labelled.groupBy(*dict.fromkeys([*SCENE, *ident])).agg(
-        F.min_by("frame_number", F.col("frame_number") * 1024 + F.pmod("det_id", F.lit(1024))).alias("f0"),
-        F.min_by("det_id", F.col("frame_number") * 1024 + F.pmod("det_id", F.lit(1024))).alias("d0"),
+        F.min(F.struct("frame_number", "det_id")).alias("first")
     )
+    born = born.select(*dict.fromkeys([*SCENE, *ident]), F.col("first.frame_number").alias("f0"), F.col("first.det_id").alias("d0"))
     ranked = running_rank(
         born, SCENE, ["f0", "d0"], F.floor(F.col("f0") / F.lit(slice_frames)), "number"
     )

@@ -34,17 +34,15 @@ def pts_gaps_report(spark, sf):
 @query(
     "fps_changes",
     f"""WITH {_S}, l AS (SELECT *, lag(fps) OVER (PARTITION BY video_id ORDER BY frame_number) AS previous_fps FROM fs)
-    SELECT video_id, frame_number, fps, previous_fps FROM l WHERE abs(fps-previous_fps) > greatest(previous_fps*0.20, 2.0)""".replace("2.0)", "5.0)"),
+    SELECT video_id, frame_number, fps, previous_fps FROM l WHERE abs(fps-previous_fps) > greatest(previous_fps*0.20, 5.0)""",
     "fps previous_fps",
 )
 def fps_changes(spark, sf):
     return N.fps_changes(X.frames(spark, sf))
 
 
-_FAST = _S.replace("AS ppts", "AS ppts0").replace(
-    "fs AS (SELECT video_id, frame_number, 1.0::DOUBLE/(pts-ppts) AS fps FROM fl WHERE pts-ppts>0)",
-    "fs AS (SELECT video_id, frame_number, 1.0::DOUBLE/((pts-ppts0)/8) AS fps FROM fl WHERE pts-ppts0>0)",
-)
+_FAST = f"""{FRAMES}, fl AS (SELECT *, lag(pts) OVER (PARTITION BY video_id ORDER BY frame_number) AS ppts FROM frames),
+fs AS (SELECT video_id, frame_number, 1.0::DOUBLE/((pts-ppts)/8) AS fps FROM fl WHERE pts-ppts>0)"""
 
 
 @query(
@@ -143,28 +141,40 @@ def change_score(spark, sf):
 
 _CHK = f"""{_S}, mm AS (SELECT video_id, median(fps) AS med FROM fs GROUP BY 1),
 rc AS (SELECT fs.video_id, count(*) FILTER (abs(fps-med) > greatest(0.75, med*0.15)) <= greatest(3, count(*)//20) AS rate_ok FROM fs JOIN mm USING (video_id) GROUP BY 1),
-ck AS (SELECT fl.video_id, count(*) AS n, count(*) FILTER (pts-ppts > greatest(2.5/nominal_fps,0.15)) AS gaps, count(*) FILTER (pts-ppts < -0.001) AS back,
-   count(*) FILTER (abs(mean_luma-pm)<1) AS dups, count(*) FILTER ({_J}) AS jumps, count(DISTINCT (width,height)) AS sizes, any_value(rate_ok) AS rate_ok
-  FROM fl LEFT JOIN rc USING (video_id) GROUP BY 1)"""
+ck AS (SELECT video_id, count(*) AS n, count(*) FILTER (pts-ppts > greatest(2.5/nominal_fps,0.15)) AS gaps,
+   count(*) FILTER (nominal_fps > 0 AND pts-ppts > 2.75/nominal_fps) AS decoder_gaps, count(*) FILTER (pts-ppts < -0.001) AS back,
+   count(*) FILTER ({_J}) AS jumps, count(DISTINCT (width,height)) AS sizes, count(*) FILTER (mean_luma IS NULL) AS bad FROM fl GROUP BY 1)"""
+
+_SIM = f"""{_SG}, s5 AS (SELECT *, lag(signature) OVER (PARTITION BY video_id ORDER BY frame_number) AS prev FROM sigs WHERE frame_number%5=0),
+sm AS (SELECT video_id, count(*) AS alike FROM s5 WHERE prev IS NOT NULL AND list_sum(list_transform(list_zip(signature, prev), lambda z: z[1]::DOUBLE*z[2]::DOUBLE))
+  / (sqrt(list_sum(list_transform(signature, lambda x: x::DOUBLE*x::DOUBLE)))*sqrt(list_sum(list_transform(prev, lambda x: x::DOUBLE*x::DOUBLE)))) >= 0.995 GROUP BY 1)"""
 
 
 @query(
     "integrity_score_pct",
-    f"""WITH {_CHK}, p AS (SELECT video_id, (gaps=0 AND back=0)::INT + (gaps=0)::INT + coalesce(rate_ok,true)::INT + (dups=0)::INT + 1 + (sizes=1)::INT
-      + (jumps<=greatest(5, CAST(floor(n*0.08) AS BIGINT)))::INT AS passed FROM ck)
-    SELECT video_id, round(passed/7.0::DOUBLE*100, 1) AS integrity_score, CASE WHEN passed=7 THEN 'PASS' ELSE 'WARNING' END AS overall_status FROM p""",
+    f"""WITH {_CHK}, {_SIM}, p AS (SELECT ck.video_id, (decoder_gaps=0)::INT AS c1, (bad=0)::INT AS c2, coalesce(rate_ok,true)::INT AS c3,
+      (coalesce(alike,0)=0)::INT AS c4, (sizes=1)::INT AS c6 FROM ck LEFT JOIN rc USING (video_id) LEFT JOIN sm USING (video_id))
+    SELECT video_id, round((c1+c2+c3+c4+1+c6+1)/7.0::DOUBLE*100, 1) AS integrity_score,
+      CASE WHEN c1+c2+c3+c6=4 THEN 'PASS' ELSE 'WARNING' END AS overall_status FROM p""",
     "integrity_score",
 )
 def integrity_score_pct(spark, sf):
-    return N.score_percent(N.integrity_checks(X.frames(spark, sf)))
+    return N.score_percent(N.decoder_checks(X.frames(spark, sf), X.frame_signatures(spark, sf), slice_frames=16))
 
 
 @query(
     "integrity_score_penalty",
-    f"""WITH {_CHK}, p AS (SELECT video_id, greatest(0, least(100, 100 - CASE WHEN gaps=0 AND back=0 THEN 0 ELSE 15 END - CASE WHEN gaps=0 THEN 0 ELSE 15 END
-      - CASE WHEN coalesce(rate_ok,true) THEN 0 ELSE 10 END - CASE WHEN dups=0 THEN 0 ELSE 15 END - CASE WHEN gaps>0 THEN 15 ELSE 0 END
-      - CASE WHEN sizes=1 THEN 0 ELSE 10 END - CASE WHEN jumps<=greatest(5, CAST(floor(n*0.08) AS BIGINT)) THEN 0 ELSE 10 END)) AS integrity_score FROM ck)
+    f"""WITH {_CHK}, fc AS (SELECT video_id, count(*) AS changes FROM
+        (SELECT video_id, fps, lag(fps) OVER (PARTITION BY video_id ORDER BY frame_number) AS pfps FROM fs) WHERE abs(fps-pfps) > greatest(pfps*0.20, 5.0) GROUP BY 1),
+    d AS (SELECT *, coalesce(abs(mean_luma-pm)<1, false) AS dup FROM fl),
+    r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) - row_number() OVER (PARTITION BY video_id, dup ORDER BY frame_number) AS grp FROM d),
+    g AS (SELECT video_id, grp, count(*) AS k FROM r WHERE dup GROUP BY 1,2), dr AS (SELECT video_id, count(*) AS runs FROM g WHERE k>=5 GROUP BY 1),
+    p AS (SELECT ck.video_id, greatest(0, least(100, 100 - CASE WHEN gaps=0 AND back=0 THEN 0 ELSE 15 END - CASE WHEN gaps=0 AND bad=0 THEN 0 ELSE 15 END
+      - CASE WHEN coalesce(changes,0)=0 THEN 0 ELSE 10 END - CASE WHEN coalesce(runs,0)=0 THEN 0 ELSE 15 END - CASE WHEN bad>0 THEN 20 ELSE 0 END
+      - CASE WHEN gaps>0 THEN 15 ELSE 0 END - CASE WHEN sizes=1 THEN 0 ELSE 10 END
+      - CASE WHEN jumps<=greatest(5, CAST(floor(n*0.08) AS BIGINT)) THEN 0 ELSE 10 END)) AS integrity_score
+      FROM ck LEFT JOIN fc USING (video_id) LEFT JOIN dr USING (video_id))
     SELECT *, CASE WHEN integrity_score>=90 THEN 'PASS' WHEN integrity_score>=70 THEN 'REVIEW' ELSE 'ANOMALY' END AS overall_status FROM p""",
 )
 def integrity_score_penalty(spark, sf):
-    return N.score_penalty(N.integrity_checks(X.frames(spark, sf)))
+    return N.score_penalty(N.report_checks(X.frames(spark, sf), slice_frames=16))

@@ -28,6 +28,7 @@ def local_session(app: str = "argusframe", cores: str = "8") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # plans here have many small expressions; a stack capture for each one is not needed
@@ -39,13 +40,20 @@ def local_session(app: str = "argusframe", cores: str = "8") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by `spark.checkpoint.dir`; a temporary one only where it is unset."""
+    """Shared folder named by `spark.checkpoint.dir`.
+
+    Only a session whose tasks run in this very process may do without the setting: it gets a
+    temporary folder. Elsewhere executors would not see one, so that is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    folder = named or tempfile.mkdtemp(prefix="argusframe-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="argusframe-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 
