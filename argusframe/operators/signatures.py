@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from argusframe.functions.scalars import contains_any
 
-HEAD_BYTES = 64 * 1024
-
 # ---- Fixed values: brand texts by vendor ----
 BRANDS = {
     "honeywell": ["Honeywell", "MAXPRO", "HEN", "HRHD", "HRHQ", "HRHT", "HRGX", "Ademco"],
@@ -162,7 +160,8 @@ def _condition(rule: Rule) -> Column:
 def detect_vendors(images: DataFrame) -> DataFrame:
     """Candidates of every vendor for each image, the best one marked.
 
-    `images`: evidence_id, extension, size, head (first 64 KiB as bytes) and the marker
+    `images`: evidence_id, extension, size, head (the bytes searched for brands,
+    all there are) and the marker
     counts in `FACTS` (missing ones count as zero). A vendor tried after another one already
     reached its highest confidence is kept with `skipped`.
     """

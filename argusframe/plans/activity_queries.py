@@ -1,5 +1,7 @@
 """Sessions, activities, summaries, digests and motion."""
 
+from pyspark.sql import functions as F
+
 from argusframe.checks.events_sql import ACT, DEV
 from argusframe.checks.views import DET, FRAMES, VEV, sq_cx, sq_cy, sq_heading
 from argusframe.operators import activity as A, incidents as I
@@ -106,13 +108,13 @@ def summary_key_events(spark, sf):
 @query(
     "confidence_label",
     f"""WITH {VEV} SELECT event_id, CASE WHEN confidence>=0.80 THEN 'HIGH' WHEN confidence>=0.60 THEN 'MEDIUM'
-    WHEN confidence>=0.35 THEN 'LOW' ELSE 'VERY LOW' END AS label FROM vev WHERE confidence IS NOT NULL""",
+    WHEN confidence>=0.35 THEN 'LOW' ELSE 'VERY LOW' END AS label FROM vev""",
 )
 def confidence_label(spark, sf):
     from argusframe.functions.scalars import confidence_label as label
 
-    ev = X.video_events(spark, sf).where("confidence IS NOT NULL")
-    return ev.select("event_id", label(ev["confidence"]).alias("label"))
+    ev = X.video_events(spark, sf)
+    return ev.select("event_id", label(F.coalesce(ev["confidence"], F.lit(0.0))).alias("label"))
 
 
 SPANS = f"""{DEV},

@@ -111,7 +111,7 @@ def roi_to_frame(spark, sf):
 
 @query(
     "motion_relabel",
-    f"""WITH {DET}, b AS (SELECT * FROM det WHERE object_type<>'person' OR det_id%3=0), p AS (SELECT * FROM det WHERE object_type='person'),
+    f"""WITH {DET}, b AS (SELECT * FROM det), p AS (SELECT * FROM det WHERE object_type='person'),
     h AS (SELECT DISTINCT b.det_id FROM b JOIN p ON b.video_id=p.video_id AND b.frame_number=p.frame_number WHERE {sq_iou('b','p')}>0.25)
     SELECT b.det_id AS box_id, CASE WHEN h.det_id IS NULL THEN 'motion' ELSE 'person' END AS object_type,
       CASE WHEN h.det_id IS NULL THEN 0.50::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM b LEFT JOIN h ON b.det_id=h.det_id""",
@@ -119,7 +119,7 @@ def roi_to_frame(spark, sf):
 )
 def motion_relabel(spark, sf):
     det = X.detections(spark, sf)
-    boxes = det.where("object_type <> 'person' OR pmod(det_id, 3) = 0").withColumn("box_id", F.col("det_id"))
+    boxes = det.withColumn("box_id", F.col("det_id"))
     return B.motion_relabel(boxes, det.where("object_type = 'person'")).select("box_id", "object_type", "confidence")
 
 

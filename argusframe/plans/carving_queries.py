@@ -382,7 +382,7 @@ def vendor_images(spark, sf):
         "evidence_id",
         ext.alias("extension"),
         F.length(body).cast("bigint").alias("size"),
-        F.encode(F.substring(body, 1, G.HEAD_BYTES), "UTF-8").alias("head"),
+        F.encode(body, "UTF-8").alias("head"),
         F.pmod("evidence_id", F.lit(5)).alias("dhav_frames"),
         F.pmod("evidence_id", F.lit(7)).alias("nal_headers"),
         F.pmod("evidence_id", F.lit(2)).alias("nal_starts"),

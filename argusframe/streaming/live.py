@@ -69,7 +69,7 @@ def live_proximity(
         return df.withWatermark("ts", delay).where("track_id IS NOT NULL").select(*cols)
 
     a, b = G.box("a_"), G.box("b_")
-    pairs = near_box_pairs(side(left), side(right), [*SCENE, "frame_number", "ts"], edge_near / 2)
+    pairs = near_box_pairs(side(left), side(right), [*SCENE, "frame_number", "ts"], max(edge_near, edge_contact) / 2)
     scored = (
         pairs.where((F.col("a_det_id") < F.col("b_det_id")) & (F.col("a_track_id") != F.col("b_track_id")))
         .withColumn("iou", G.iou(a, b))
