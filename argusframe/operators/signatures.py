@@ -160,9 +160,8 @@ def _condition(rule: Rule) -> Column:
 def detect_vendors(images: DataFrame) -> DataFrame:
     """Candidates of every vendor for each image, the best one marked.
 
-    `images`: evidence_id, extension, size, head (the bytes searched for brands,
-    all there are) and the marker
-    counts in `FACTS` (missing ones count as zero). A vendor tried after another one already
+    `images`: evidence_id, extension, size, head (the bytes searched for brands, all there are)
+    and the marker counts in `FACTS` (missing ones count as zero). A vendor tried after another one already
     reached its highest confidence is kept with `skipped`.
     """
     facts = {f: (F.col(f) if f in images.columns else F.lit(0)) for f in FACTS}

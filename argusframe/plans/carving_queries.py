@@ -415,7 +415,7 @@ def _has(words: list[str], exact: bool = False) -> str:
 VENDOR_SQL = f"""
 WITH {BLOBS}, b AS (SELECT evidence_id, evidence_id%9 AS k, evidence_id%5 AS dh, evidence_id%7 AS nh, evidence_id%2 AS ns, evidence_id%3 AS vp,
    ['.dd','.dav','.stm','.mp4'][evidence_id%4+1] AS ext,
-   substr(['DHFS4.1 ','DHAV frame ','DHAV vigi ','plain ','SATATYA NVR ','Godrej ACE ','UNV box ','DHFS4.1 CP PLUS ','Honeywell '][evidence_id%9+1] || content, 1, 65536) AS h FROM blobs),
+   substr(['DHFS4.1 ','DHAV frame ','DHAV vigi ','plain ','SATATYA NVR ','Godrej ACE ','UNV box ','DHFS4.1 CP PLUS ','Honeywell '][evidence_id%9+1] || content, 1) AS h FROM blobs),
 f AS (SELECT *, starts_with(h,'DHFS4.1') AS dhfs, starts_with(h,'DHAV') AS dhav, {_has(G.BRANDS['honeywell'])} AS hon, {_has(G.BRANDS['matrix'])} AS mat,
    {_has(G.BRANDS['tplink_vigi'], True)} AS tp, {_has(G.BRANDS['godrej'])} AS god, {_has(G.BRANDS['uniview'], True)} AS unv, {_has(G.BRANDS['cpplus'])} AS cp FROM b),
 g AS (SELECT *, tp OR cp OR god AS oem FROM f),
