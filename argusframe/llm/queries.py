@@ -123,3 +123,58 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_quality_rules"] = r"""
+WITH w AS (
+    SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), win AS (
+    SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS key
+    FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)
+), twice AS (
+    SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, key) AS k FROM win) WHERE k > 1
+), covered AS (
+    SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(0, 8) AS t(j) GROUP BY rid
+), c AS (
+    SELECT rid, doc_id, lang, source, len(ws) AS n_words,
+        CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words
+    FROM w LEFT JOIN covered USING (rid)
+), d AS (
+    SELECT * EXCLUDE (lines), len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        greatest(n_words, 1) AS per, len(lines) AS n_lines
+    FROM c
+), m AS (
+    SELECT rid, lang, source, n_words, unnest([
+        {'name': 'symbol_rate', 'x': n_symbols / per, 'slack': 0.3::DOUBLE},
+        {'name': 'dup_line_rate', 'x': greatest(n_dup_lines - 1, 0) / greatest(n_lines, 1), 'slack': 0.3::DOUBLE},
+        {'name': 'repeat_rate', 'x': n_repeat_words / per, 'slack': 0.15::DOUBLE},
+        {'name': 'word_length', 'x': word_chars / per, 'slack': 3.0::DOUBLE}], recursive := true)
+    FROM d
+), sketch AS (
+    SELECT lang, source, name, CASE WHEN x > 0 THEN CAST(ceil(round(ln(x) / ln(1.02::DOUBLE), 6)) AS INTEGER) END AS bucket,
+        count(*) AS n
+    FROM m WHERE n_words >= 20 GROUP BY ALL
+), ranked AS (
+    SELECT *, CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow(1.02::DOUBLE, bucket) / 2.02::DOUBLE END AS v,
+        sum(n) OVER (PARTITION BY lang, source, name ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto,
+        sum(n) OVER (PARTITION BY lang, source, name) AS total
+    FROM sketch
+), fences AS (
+    SELECT lang, source, name, min(v) FILTER (100 * upto >= 25 * total) AS q25, min(v) FILTER (100 * upto >= 75 * total) AS q75
+    FROM ranked GROUP BY ALL
+), outliers AS (
+    SELECT DISTINCT rid FROM m JOIN fences AS f
+        ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source AND m.name = f.name
+    WHERE x > q75 + 4 * (q75 - q25) + slack OR (m.name = 'word_length' AND x < q25 - 4 * (q75 - q25) - slack)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+    CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+    NOT base_failed AND rid NOT IN (SELECT rid FROM outliers) AS kept
+FROM d
+"""
