@@ -178,3 +178,34 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS
     NOT base_failed AND rid NOT IN (SELECT rid FROM outliers) AS kept
 FROM d
 """
+
+
+ORACLES["op7_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS shingle FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)
+    UNION ALL SELECT doc_id, ws[1] FROM w WHERE len(ws) = 1
+), z AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), sn AS (
+    SELECT doc_id, n, shingle FROM s JOIN z USING (doc_id)
+), e AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM sn AS a JOIN sn AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+    SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+    SELECT doc_id, doc_id AS c FROM w
+    UNION SELECT t.b, r.c FROM r JOIN both_ways AS t ON r.doc_id = t.a
+), k AS (
+    SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1
+)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN k USING (doc_id) LEFT JOIN z USING (doc_id)
+"""
