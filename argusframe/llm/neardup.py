@@ -221,12 +221,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     tables = F.explode(
         F.array(*(F.xxhash64(F.lit(i * HALVES + j), F.col("halves")[i], F.col("halves")[j]) for i, j in pair))
     )
-    rows = nodes.select(
-        tables.alias("bucket"), F.struct("doc_id", "mark", F.col("n").cast("int").alias("n")).alias("own")
-    )
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("own").alias("lead"))
-    shared = shared.where("size > 1")
-    met = materialize(rows.join(shared, "bucket"))
+    # one narrow row a table key; what else is known of a set joins where keys are shared
+    rows = nodes.select(tables.alias("bucket"), "doc_id")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    own = nodes.select("doc_id", F.struct("doc_id", "mark", F.col("n").cast("int").alias("n")).alias("own"))
+    met = materialize(rows.join(sizes, "bucket").join(own, "doc_id").select("bucket", "size", "own"))
 
     def pairs(of: DataFrame) -> DataFrame:
         fit = of.where(_similar_size(F.col("x.n"), F.col("y.n"), percent) & (F.col("x") != F.col("y")))
@@ -241,7 +240,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     few = met.where(F.col("size") <= SMALL_BUCKET).groupBy("bucket").agg(F.collect_list("own").alias("all"))
     few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x > y")
     many = met.where(F.col("size") > SMALL_BUCKET)
-    stars = many.select(F.col("own").alias("x"), F.col("lead").alias("y"))
+    leads = many.groupBy("bucket").agg(F.min("own").alias("lead"))
+    stars = many.join(leads, "bucket").select(F.col("own").alias("x"), F.col("lead").alias("y"))
     links = materialize(_confirmed(pairs(few.unionByName(stars)), documents, shingle, percent))
     if not signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         links = materialize(links.unionByName(_one_document(sets, nodes)))
