@@ -271,6 +271,32 @@ def test_every_long_exact_repeat_of_the_table_is_found(spark):
     assert late and late <= set(found)
 
 
+def test_alignment_equals_the_length_of_the_common_words(monkeypatch):
+    rng = random.Random(12)
+    for bits in (1 << 18, 16, 1):
+        monkeypatch.setattr(substrings, "TABLE_BITS", bits)
+        for _ in range(60):
+            a, b = ([rng.choice([b"x", b"y", b"z"]) for _ in range(rng.randint(0, 30))] for _ in range(2))
+            pairs = substrings.matching(a, b)
+            assert len(pairs) == substrings.common_words(a, b) and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_neighbouring_copies_are_passages_of_their_own(docs, words):
+    one, two = words(56, 31), words(150, 32)
+    rows = [(1, f"{words(40, 33)} {one} {words(30, 34)} {two} {words(40, 35)}")]
+    rows += [(2, f"{words(40, 36)} {one} {words(30, 37)} {two} {words(40, 38)}")]
+    rows += [(3, f"{words(40, 39)} {words(54, 40)} {words(30, 41)} {words(53, 42)}")]
+    rows += [(4, f"{words(20, 43)} {words(54, 40)} {words(30, 44)} {words(53, 42)}")]
+    text = dict(rows)
+    found = substrings.passages(docs(rows)).orderBy("doc_id", "start").collect()
+    assert [r["doc_id"] for r in found] == [2, 2, 4, 4]
+    got = [text[r["doc_id"]][r["start"] : r["end"]].split() for r in found]
+    for g, want in zip(got, (one, two, words(54, 40), words(53, 42)), strict=True):
+        want = want.split()
+        assert set(want) <= set(g) and len(g) <= len(want) + 4  # the middle stays out
+
+
 # ---------------------------------------------------------------- language model
 
 
