@@ -297,6 +297,34 @@ def test_neighbouring_copies_are_passages_of_their_own(docs, words):
         assert set(want) <= set(g) and len(g) <= len(want) + 4  # the middle stays out
 
 
+def test_copies_of_long_words_are_found_whole(docs, words):
+    def long(n, seed, letters):
+        rng = random.Random(seed)
+        return " ".join("".join(rng.choices("abcdef/", k=letters)) for _ in range(n))
+
+    rows, want = [], {}
+    for i, letters in enumerate((20, 30, 30, 300)):
+        shared = long(60 if i < 2 else 200, i, letters)
+        rows += [(10 * i + j, f"{long(20, 100 + 10 * i + j, 9)} Ü {shared} {long(20, 200 + 10 * i + j, 9)}") for j in (0, 1)]
+        want[10 * i + 1] = f"Ü {shared}"
+    text = dict(rows)
+    found = substrings.passages(docs(rows)).collect()
+    assert {r["doc_id"]: text[r["doc_id"]][r["start"] : r["end"]] for r in found} == want and len(found) == 4
+    for r in found:
+        assert text[r["ref_id"]][r["ref_start"] : r["ref_end"]] == want[r["doc_id"]]
+
+
+def test_widening_goes_on_until_words_stop_agreeing():
+    own = " ".join(f"word{i}" for i in range(400))
+    one = substrings.Extract.of(own, 0, len(own))
+    place = (200 << 32) | one.start[200]
+    for reach in (100, 1500, 9000):
+        low = max(0, one.start[200] - reach)
+        part = substrings.Extract.of(own[low : one.start[200] + reach], low, len(own))
+        got = substrings.align(part, (place, place), part, (place, place), 50, 0.8)
+        assert got == ([(0, len(own), 0, len(own), 400, 1.0)] if reach == 9000 else None)
+
+
 # ---------------------------------------------------------------- language model
 
 
