@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,15 +317,53 @@ def test_copies_of_long_words_are_found_whole(docs, words):
 
 def test_widening_goes_on_until_words_stop_agreeing():
     own = " ".join(f"word{i}" for i in range(400))
-    one = substrings.Extract.of(own, 0, len(own))
-    place = (200 << 32) | one.start[200]
+    at = own.index("word200 ")
+    place = (200 << 32) | (at << 1)
     for reach in (100, 1500, 9000):
-        low = max(0, one.start[200] - reach)
-        part = substrings.Extract.of(own[low : one.start[200] + reach], low, len(own))
+        low = max(0, at - reach)
+        part = substrings.Extract(own[low : at + reach], low, len(own))
         got = substrings.align(part, (place, place), part, (place, place), 50, 0.8)
         assert got == ([(0, len(own), 0, len(own), 400, 1.0)] if reach == 9000 else None)
 
 
+def test_seeds_meet_the_first_and_the_previous_holder_whatever_the_batches():
+    rng = random.Random(5)
+    rows = sorted((rng.randint(0, 9), rng.randint(0, 12), i) for i in range(300))
+    want = set()
+    for s, d, i in rows:
+        own = [x for a, b, x in rows if (a, b) == (s, d)]
+        before = sorted({b for a, b, _ in rows if a == s and b < d})
+        for ref in before[:1] + before[-1:]:
+            places = [x for a, b, x in rows if (a, b) == (s, ref)]
+            want |= {(d, ref, i, places[0]), (d, ref, i, places[min(own.index(i), len(places) - 1)])}
+    for size in (1, 2, 7, 300):
+        cut = [rows[a : a + size] for a in range(0, 300, size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*b, strict=True)], ["seed", "doc_id", "place"]) for b in cut]
+        got = [tuple(r.values()) for b in substrings._match(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_copies_whose_short_seeds_have_earlier_owners_are_found(docs, words):
+    rng, rows, want = random.Random(7), [], set()
+    for i in range(30):
+        shared = words(52, 700 + i)
+        w = shared.split()
+        for at in range(0, 46):  # most runs of five words also occur in unrelated earlier documents
+            if rng.random() < 0.7:
+                rows.append((len(rows), f"{words(6, 5000 + 100 * i + at)} {' '.join(w[at : at + 5])} {words(6, 9000 + 100 * i + at)}"))
+        rows += [(10_000 + i, f"{words(30, 800 + i)} {shared} {words(30, 900 + i)}")]
+        rows += [(20_000 + i, f"{words(30, 300 + i)} {shared} {words(30, 400 + i)}")]
+        want.add((20_000 + i, 10_000 + i))
+    found = {(r["doc_id"], r["ref_id"]) for r in substrings.passages(docs(rows)).collect()}
+    assert want <= found
+
+
+def test_both_copies_in_a_later_document_are_found(docs, words):
+    shared = words(60, 61)
+    rows = [(1, f"{words(40, 62)} {shared}"), (2, f"{words(40, 63)} {shared} {words(200, 64)} {shared} {words(40, 65)}")]
+    assert substrings.passages(docs(rows)).count() == 2
+
+
 # ---------------------------------------------------------------- language model
 
 
