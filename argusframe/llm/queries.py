@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from argusframe.llm import (
-    bpe, langid, lm, neardup, packing, quality, secret_scan, substrings, topk, toxicity,
+    bpe, centroids, langid, lm, neardup, packing, quality, secret_scan, substrings, topk, toxicity,
 )
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,55 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", centroids.quantized(F.col("embedding")).alias("v")
+    )
+    return centroids.cluster(vectors)
+
+
+def _clustering_sql(rounds: int) -> str:
+    """Plain rounds of assignment and update."""
+
+    def assigned(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (
+    SELECT rid, any_value(vec_id) AS vec_id, any_value(q) AS q, min({{'d': d, 'c': c}}) AS best
+    FROM (SELECT v.*, c, CAST(list_inner_product(q, q) + list_inner_product(cq, cq) - 2 * list_inner_product(q, cq) AS BIGINT) AS d
+        FROM v, k{r}) GROUP BY rid
+)"""
+
+    def moved(r: int) -> str:
+        return f"""k{r} AS MATERIALIZED (
+    SELECT c, coalesce(n.cq, k{r - 1}.cq) AS cq FROM k{r - 1} LEFT JOIN (
+        SELECT c, list(CAST(floor_sum AS DOUBLE) ORDER BY i) AS cq FROM (
+            SELECT c, i, (s - (s % n + n) % n) / n AS floor_sum FROM (
+                SELECT best.c AS c, i, sum(CAST(q[i] AS BIGINT)) AS s, count(*) AS n
+                FROM a{r - 1}, range(1, 65) AS t(i) GROUP BY 1, 2))
+        GROUP BY c) AS n USING (c)
+)"""
+
+    steps = [s for r in range(1, rounds + 1) for s in (moved(r), assigned(r))]
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id,
+        list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), k0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, q) - 1 AS c, q AS cq
+    FROM v QUALIFY c < 16
+), {", ".join([assigned(0), *steps])}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance,
+    CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(cq, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN k{rounds} ON best.c = c
+"""
+
+
+ORACLES["op13_centroid_clustering"] = _clustering_sql(centroids.ROUNDS)
+
+
 ORACLES["op10_quality_rules"] = r"""
 WITH w AS (
     SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
