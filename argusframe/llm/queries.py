@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from argusframe.llm import (
     bpe, centroids, langid, lm, neardup, packing, quality, secret_scan, substrings, topk, toxicity,
+    trie,
 )
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +134,53 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(vectors)
 
 
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = r"""
+WITH RECURSIVE bits AS (
+    SELECT b, 0 AS i, CAST(b AS BIGINT) AS v FROM range(256) AS t(b)
+    UNION ALL SELECT b, i + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE i < 8
+), crc_table AS (
+    SELECT list(v ORDER BY b) AS crc FROM bits WHERE i = 8
+), own AS (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+    SELECT conv_id, turns, xor(4294967295, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda a, x: xor(a // 256, crc[xor(a % 256, x) + 1]))) % 4 AS h
+    FROM own, crc_table
+), rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:o.h], o.turns[o.h + 1:]) AS turns
+    FROM hashed AS o LEFT JOIN own AS b ON b.conv_id = o.conv_id - o.conv_id % 20
+), prefixes AS (
+    SELECT conv_id, d AS depth, len(turns) = d AS last, turns[1:d] AS p, turns[1:d - 1] AS up,
+        CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+    FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT depth, p, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+        coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (last), '') AS ends
+    FROM prefixes GROUP BY depth, p
+), children AS (
+    SELECT depth - 1 AS depth, up AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), n AS (
+    SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (depth, p)
+), subtree AS (
+    SELECT a.depth, a.p, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved_tokens
+    FROM (SELECT depth, p, unnest(range(0, depth + 1)) AS d, n_children, n_convs, words FROM n) AS b
+        JOIN n AS a ON a.depth = b.d AND a.p = b.p[1:b.d]
+    GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+    CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN subtree USING (depth, p) LEFT JOIN n AS u ON u.depth = n.depth - 1 AND u.p = n.up
+"""
+
+
 def _clustering_sql(rounds: int) -> str:
     """Plain rounds of assignment and update."""
 
