@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from argusframe.llm import (
-    bpe, centroids, langid, lm, neardup, packing, quality, secret_scan, substrings, topk, toxicity,
-    trie,
+    bpe, centroids, langid, lm, neardup, packing, pages, quality, secret_scan, substrings, topk,
+    toxicity, trie,
 )
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,11 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(vectors)
 
 
+@_query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
