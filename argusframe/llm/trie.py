@@ -17,7 +17,6 @@ from functools import partial
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -26,7 +25,7 @@ from argusframe.sources.session import materialize
 
 #: Conversations rebuilt from one head, and the most turns taken from it.
 FAMILY, HEAD = 20, 3
-#: Levels whose turns are fewer than this in sum are peeled in one job, group by group; wider levels one
+#: Levels whose turns are fewer than this in sum are peeled in one job, tree by tree; wider levels one
 #: by one, their paths looked up for so many levels at once.
 NARROW, BAND = 1 << 14, 16
 #: Characters of role and text that say where tasks split rows of one conversation and turn.
@@ -222,31 +221,53 @@ _NODE = (
 _NODE_NAMES = [x.split()[0] for x in _NODE.split(", ")]
 
 
-def _peeler(low: int):
-    """Nodes of the levels above `low` under one node at `low`."""
-
-    def peel(rows):
-        left: dict[int, list[tuple]] = {}
-        columns = ("depth", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
-        for depth, *sums, k1, k2, words in zip(*(rows[c].tolist() for c in columns), rows["p1"], rows["p2"], rows["pw"], strict=True):
-            left.setdefault(depth, []).append([*sums, (k1.tolist(), k2.tolist(), words.tolist())])
-        out = []
-        at: dict[tuple[int, int], list] = {}
-        for depth in range(max(left), low, -1):
-            i = depth - low
-            for new in left.get(depth, []):
-                _merge(at, (new[-1][0][i], new[-1][1][i]), new)
-            above: dict[tuple[int, int], list] = {}
-            for key, (conv, n, children, leaves, saved, path) in at.items():
-                up = (path[0][i - 1], path[1][i - 1])
-                saved += (n - 1) * path[2][i]
-                leaves = leaves if children else 1
-                out.append((depth, *key, *up, conv, n, children, leaves, saved))
-                _merge(above, up, [conv, n, 1, leaves, saved, path])
-            at = above
-        return pd.DataFrame(out, columns=_NODE_NAMES)
-
-    return peel
+def _peel(rows: list[tuple], low: int) -> list[tuple]:
+    """Nodes of the levels above `low` under one node at `low`.
+
+    rows: depth, conv_id, n_convs, n_children, n_leaves, saved_tokens, and the keys and words of the path.
+    """
+    left: dict[int, list[list]] = {}
+    for depth, *sums, k1, k2, words in rows:
+        left.setdefault(depth, []).append([*sums, (k1, k2, words)])
+    out = []
+    at: dict[tuple[int, int], list] = {}
+    for depth in range(max(left), low, -1):
+        i = depth - low
+        for new in left.get(depth, []):
+            _merge(at, (new[-1][0][i], new[-1][1][i]), new)
+        above: dict[tuple[int, int], list] = {}
+        for key, (conv, n, children, leaves, saved, path) in at.items():
+            up = (path[0][i - 1], path[1][i - 1])
+            saved += (n - 1) * path[2][i]
+            leaves = leaves if children else 1
+            out.append((depth, *key, *up, conv, n, children, leaves, saved))
+            _merge(above, up, [conv, n, 1, leaves, saved, path])
+        at = above
+    return out
+
+
+def _peels(batches: Iterator[pa.RecordBatch], low: int) -> Iterator[pa.RecordBatch]:
+    """Peel group after group of rows sorted by (g1, g2); a group has NARROW turns at most."""
+    names = ["depth", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "p1", "p2", "pw"]
+    held: list[tuple] = []
+    group = None
+
+    def nodes(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) if found else [[]] * len(_NODE_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NODE_NAMES)
+
+    for batch in batches:
+        found: list[tuple] = []
+        columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("g1", "g2", *names)]
+        for g1, g2, *row in zip(*columns, strict=True):
+            if (g1, g2) != group and held:
+                found += _peel(held, low)
+                held = []
+            group = (g1, g2)
+            held.append(tuple(row))
+        yield nodes(found)
+    if held:
+        yield nodes(_peel(held, low))
 
 
 def _merge(at: dict, key: tuple[int, int], new: list) -> None:
@@ -364,7 +385,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
             top = rows.select(
                 *ends.columns, *(F.col(f"path.{n}").alias(p) for n, p in (("k1", "p1"), ("k2", "p2"), ("words", "pw")))
             ).select("*", F.col("p1")[0].alias("g1"), F.col("p2")[0].alias("g2"))
-            found = materialize(top.groupBy("g1", "g2").applyInPandas(_peeler(band.low), _NODE))
+            top = top.repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+            found = materialize(top.mapInArrow(partial(_peels, low=band.low), _NODE))
             nodes.append(found)
             left = _stripped(found.where(F.col("depth") == band.low + 1))
             continue
