@@ -504,9 +504,11 @@ def labelled(sources: list[str]) -> list[tuple[Page, list[int]]]:
 
 
 def fit(pages: DataFrame) -> Field:
-    """The field trained on SAMPLE pages of at most LONGEST characters, least in hash, and their layouts."""
-    order = (F.xxhash64("page_id"), "page_id", "html")
-    rows = pages.where(F.length("html") <= LONGEST).select("page_id", "html").orderBy(*order).limit(SAMPLE).collect()
+    """The field trained on SAMPLE different pages of at most LONGEST characters, least in hash, and their layouts."""
+    short = pages.where(F.length("html") <= LONGEST).select("html", F.xxhash64("page_id", "html").alias("h"))
+    hashes = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    # copies of a page are one page of the sample, so no more than SAMPLE come to the driver
+    rows = short.where(F.col("h") <= max(hashes, default=0)).dropDuplicates(["h"]).orderBy("h").collect()
     return train(labelled([r["html"] for r in rows]))
 
 
