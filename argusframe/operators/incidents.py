@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from argusframe.functions import geometry as G, scalars as S
 from argusframe.operators import vocab
 from argusframe.operators.grid import near_box_pairs
+from argusframe.operators.pairs import common_frames, interval_rows, last_common_frame
 from argusframe.operators.slicing import lag_in_slices, sequence_key, time_slice
 from argusframe.sources.session import materialize
 
@@ -290,13 +291,10 @@ def fighting(
             "avg_relative_speed",
         )
     )
-    mine = persons.select(
-        *FRAME, F.col("track_id").alias("track_a"), F.unix_micros("ts").alias("us")
-    )
-    theirs = persons.select(*FRAME, F.col("track_id").alias("track_b"))
+    moments = persons.select(*TRACK, "frame_number", F.unix_micros("ts").alias("us"))
     span = (
-        ordered.join(mine, [*SCENE, "track_a"])
-        .join(theirs, [*FRAME, "track_b"])
+        common_frames(ordered, moments, ["us"])
+        .withColumn("us", F.col("a.us"))
         .groupBy(*SCENE, "track_a", "track_b", "close_frames", "avg_relative_speed")
         .agg(
             F.count(F.lit(1)).alias("common_frames"),
@@ -404,20 +402,16 @@ def robbery(
         DataFrame.unionByName,
         (side(x.drop("_late"), "a_").join(side(y.drop("_late"), "b_"), FRAME) for x, y in either),
     ).where(ordered & ~same_gap)
-    history = persons.select(
-        *SCENE, "track_id", F.struct(*cell).alias("was"), F.col("frame_number").alias("g")
+    apart = uneven.select(
+        *FRAME, F.col("a_track_id").alias("track_a"), F.col("b_track_id").alias("track_b"),
+        F.struct(*(c for c in uneven.columns if c not in FRAME)).alias("hit"),
     )
-    ha = history.select(*SCENE, F.col("track_id").alias("a_track_id"), "g", F.col("was").alias("a_was"))
-    hb = history.select(*SCENE, F.col("track_id").alias("b_track_id"), "g", F.col("was").alias("b_was"))
-    latest = Window.partitionBy(*FRAME, "a_track_id", "b_track_id").orderBy(F.desc("g"))
+    before = last_common_frame(apart.select(*SCENE, "track_a", "track_b").distinct(), persons, cell)
     looked_up = (
-        uneven.join(ha, [*SCENE, "a_track_id"])
-        .where(F.col("g") <= F.least("a_prev.frame_number", "b_prev.frame_number"))
-        .join(hb, [*SCENE, "b_track_id", "g"])
-        .withColumn("_rn", F.row_number().over(latest))
-        .where("_rn = 1")
-        .withColumn("a_prev", F.col("a_was"))
-        .withColumn("b_prev", F.col("b_was"))
+        apart.join(before.where(F.col("prev").isNotNull()), [*FRAME, "track_a", "track_b"])
+        .select(*FRAME, "hit.*", "prev")
+        .withColumn("a_prev", F.col("prev.a"))
+        .withColumn("b_prev", F.col("prev.b"))
         .select(*direct.columns)
     )
     hits = _robbery_hits(direct, approach_px_s, shrink).unionByName(
@@ -572,6 +566,10 @@ def _extent(df: DataFrame) -> list[Column]:
     ]
 
 
+#: Microseconds of a slice of an object's rows.
+VANDAL_SLICE_US = 16_000_000
+
+
 def vandalism(
     detections: DataFrame,
     dwell_s: float = 3.0,
@@ -624,9 +622,10 @@ def vandalism(
         *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")),
     )
     obox = G.box("o_")
+    # the part of the person's stay in which the object was there
+    start, end = F.greatest("a_us0", "b_us0"), F.least("a_us1", "b_us1")
     seen = (
-        pairs.join(rows, [*SCENE, "b_track_id"])
-        .where((F.col("us") >= F.col("a_us0")) & (F.col("us") <= F.col("a_us1")))
+        interval_rows(pairs, rows, start, end, "us", VANDAL_SLICE_US, [*SCENE, "b_track_id"])
         .groupBy(
             *SCENE, "a_track_id", "b_track_id", "b_first_seq", "a_us0", "a_us1", "a_dwell_s"
         )

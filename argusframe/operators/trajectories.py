@@ -10,11 +10,14 @@ from argusframe.functions import geometry as G, scalars as S
 from argusframe.operators import vocab
 from argusframe.operators.activity import kinematics, velocity_backfill
 from argusframe.operators.grid import near_box_pairs, point_cell, point_cells
-from argusframe.operators.slicing import lag_in_slices, range_slice, sequence_key, time_slice
+from argusframe.operators.pairs import pair_rows
+from argusframe.operators.slicing import SLICE, lag_in_slices, range_slice, sequence_key, time_slice
 
 SCENE = ["video_id", "camera_id"]
 TRACK = [*SCENE, "track_id"]
 BAND_S = 0.6
+#: Time buckets of a slice of a track.
+PAIR_SLICE = 32
 
 
 def sudden_changes(
@@ -322,19 +325,13 @@ def vehicle_collision(
         (F.least("a_us1", "b_us1") >= F.greatest("a_us0", "b_us0"))
         & (F.greatest("a_avg_speed", "b_avg_speed") >= min_speed)
     )
-    left = spread.select(
-        *SCENE, "tb", F.col("track_id").alias("track_a"),
-        *(F.col(c).alias(f"l_{c}") for c in ("us", "x1", "y1", "x2", "y2")),
-    )
-    right = single.select(
-        *SCENE, "tb", F.col("track_id").alias("track_b"),
-        *(F.col(c).alias(f"r_{c}") for c in ("us", "x1", "y1", "x2", "y2")),
-    )
+    def moments(rows: DataFrame, prefix: str) -> DataFrame:
+        boxes = (F.col(c).alias(f"{prefix}{c}") for c in ("us", "x1", "y1", "x2", "y2"))
+        return rows.select(*SCENE, "track_id", "tb", *boxes).withColumn(SLICE, range_slice(F.col("tb"), PAIR_SLICE))
+
     lb, rb = G.box("l_"), G.box("r_")
     measured = (
-        pairs.select(*SCENE, "track_a", "track_b")
-        .join(left, [*SCENE, "track_a"])
-        .join(right, [*SCENE, "track_b", "tb"])
+        pair_rows(pairs.select(*SCENE, "track_a", "track_b"), moments(spread, "l_"), moments(single, "r_"), ["tb"])
         .where(F.abs(F.col("l_us") - F.col("r_us")) <= band)
         .groupBy(*SCENE, "track_a", "track_b", "l_us")
         .agg(
