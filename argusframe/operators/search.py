@@ -10,6 +10,7 @@ from argusframe.functions import scalars as S
 from argusframe.operators import vocab
 from argusframe.operators.slicing import (
     lag_in_slices,
+    running_rank,
     sequence_key,
     time_slice,
     value_at_rank,
@@ -464,23 +465,41 @@ def disappearances(
     )
 
 
-def disappearance_related(events: DataFrame, candidates: DataFrame, cap: int = 3) -> DataFrame:
-    """First events of the same camera at or after each disappearance."""
-    first = Window.partitionBy("camera_id", "object_type").orderBy("start_time", TIE)
-    c = candidates.select("camera_id", "object_type", "disappearance_time")
+def disappearance_related(
+    events: DataFrame, candidates: DataFrame, cap: int = 3, slice_seconds: float = 900
+) -> DataFrame:
+    """First `cap` events of the same camera at or after each disappearance.
+
+    Events are numbered along each camera, slice by slice. A disappearance counts how many events
+    begin before it by its place among events and disappearances together, less its place among the
+    disappearances; the next `cap` numbers are looked up. A camera's events and disappearances
+    never meet all with all.
+    """
+    by = time_slice(F.col("_at"), slice_seconds)
     e = events.select(
         F.coalesce("camera_id", F.lit("CH-UNKNOWN")).alias("camera_id"),
         TIE,
         "start_time",
         "event_type",
         F.col("object_type").alias("seen_type"),
-    )
-    return (
-        e.join(c, "camera_id")
-        .where(F.col("start_time") >= F.col("disappearance_time"))
-        .withColumn("position", F.row_number().over(first))
-        .where(F.col("position") <= cap)
-        .select("camera_id", "object_type", "position", TIE, "start_time", "event_type", "seen_type")
+        F.col("start_time").alias("_at"),
+    ).where("_at IS NOT NULL")
+    c = candidates.where("disappearance_time IS NOT NULL").select(
+        "camera_id", "object_type", F.col("disappearance_time").alias("_at")
+    )
+    marks = e.select("camera_id", "_at", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("object_type")).unionByName(
+        c.withColumn("_kind", F.lit(0))
+    )
+    among = running_rank(marks, ["camera_id"], ["_at", "_kind", "object_type"], by, "_among").where("_kind = 0")
+    own = running_rank(c, ["camera_id"], ["_at", "object_type"], by, "_own").select("camera_id", "object_type", "_own")
+    wanted = (
+        among.join(own, ["camera_id", "object_type"])
+        .withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(cap))))
+        .select("camera_id", "object_type", "position", (F.col("_among") - F.col("_own") + F.col("position")).alias("_nth"))
+    )
+    numbered = running_rank(e, ["camera_id"], ["_at", TIE], by, "_nth")
+    return numbered.join(wanted, ["camera_id", "_nth"]).select(
+        "camera_id", "object_type", "position", TIE, "start_time", "event_type", "seen_type"
     )
 
 

@@ -7,9 +7,12 @@ of rules is fixed, so they become one projection and no row leaves its task.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
+from functools import partial, reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from argusframe.functions.scalars import contains_any
@@ -136,6 +139,59 @@ VENDORS: list[tuple[str, float, list[Rule]]] = [
 FACTS = ["dhav_frames", "nal_headers", "nal_starts", "xm_markers", "vps_markers", "carved_streams"]
 MIN_SIZE = 32
 
+# ---- Fixed values: byte patterns of recorder frames ----
+START_CODE = b"\x00\x00\x00\x01"
+VPS_START = b"\x00\x00\x00\x01\x40"
+XM_PREFIX = b"\x00\x00\x01\xfd"
+DHAV_MARK = b"DHAV"
+#: Type, magic, width and height, length of the unit (little-endian, 1 byte to 100 MiB), time.
+NAL_HEADER = re.compile(rb"(?=[\x82\x02]\x80\x01\x00.{4}(.{4}).{8})", re.S)
+LONGEST_NAL = 100 << 20
+_MARKS = re.compile(b"(?=" + b"|".join(b"(%s)" % re.escape(m) for m in (DHAV_MARK, START_CODE, XM_PREFIX)) + b")")
+
+
+def _count(data: bytes, chunk: int) -> tuple[int, int, int, int, int]:
+    """Counts of DHAV frames, unit headers, start codes, XM frames and VPS units that start in a chunk."""
+    dhav = starts = xm = vps = 0
+    for m in _MARKS.finditer(data):
+        if m.start() >= chunk:
+            break
+        dhav += m.lastindex == 1
+        starts += m.lastindex == 2
+        xm += m.lastindex == 3
+        vps += m.lastindex == 2 and data.startswith(VPS_START, m.start())
+    headers = 0
+    for m in NAL_HEADER.finditer(data):
+        if m.start() >= chunk:
+            break
+        headers += 0 < int.from_bytes(m[1], "little") <= LONGEST_NAL
+    return dhav, headers, starts, xm, vps
+
+
+def _chunk_facts(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, data = (batch.column(batch.schema.get_field_index(n)) for n in ("evidence_id", "bytes"))
+        counts = [_count(x.as_py() or b"", chunk) for x in data]
+        yield pa.RecordBatch.from_arrays(
+            [ids, *(pa.array([c[i] for c in counts], pa.int64()) for i in range(5))],
+            ["evidence_id", *FACTS[:5]],
+        )
+
+
+def marker_facts(chunks: DataFrame, chunk: int = 64 << 20) -> DataFrame:
+    """The counts in `FACTS` of every image, from its bytes.
+
+    Chunks hold `chunk` bytes of their own and an overlap of 20 bytes at least, which only
+    completes what starts in them, so a marker across a border is counted once. Each chunk becomes
+    one row of counts in the task that holds it; the counts are summed before and after the
+    shuffle. An elementary stream can be carved from any start code, so `carved_streams` is their count.
+    """
+    counts = chunks.select("evidence_id", "bytes").mapInArrow(
+        partial(_chunk_facts, chunk=chunk), "evidence_id BIGINT, " + ", ".join(f"{f} BIGINT" for f in FACTS[:5])
+    )
+    summed = counts.groupBy("evidence_id").agg(*(F.sum(f).alias(f) for f in FACTS[:5]))
+    return summed.withColumn("carved_streams", F.col("nal_starts"))
+
 
 def _all(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds, F.lit(True))

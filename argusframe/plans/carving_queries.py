@@ -258,10 +258,10 @@ def block_triage(spark, sf):
 BS = 1048576
 UNALLOC = f"""{INDEX},
 mk AS (SELECT DISTINCT event_id%64 AS evidence_id, (event_id*7919007)%536870912 AS "offset" FROM events),
-known AS (SELECT DISTINCT evidence_id, offset_datablock AS "offset" FROM idx_entries WHERE offset_datablock % (1048576*5) = 0),
+known AS (SELECT DISTINCT evidence_id, offset_datablock AS "offset" FROM idx_entries),
 fc AS (SELECT DISTINCT evidence_id, ("offset"//{BS} - d)*{BS} AS "offset" FROM mk, (VALUES (0),(1)) t(d)),
 al AS (SELECT evidence_id, "offset" FROM fc WHERE "offset">=4096 AND "offset"+{BS}<=536870912 AND (("offset"//{BS})*37+evidence_id)%100/100.0 < 0.98
-  AND ("offset"//{BS})%7=0 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.evidence_id=fc.evidence_id AND k."offset"=fc."offset")),
+  AND NOT EXISTS (SELECT 1 FROM known k WHERE k.evidence_id=fc.evidence_id AND k."offset"=fc."offset")),
 wk AS (SELECT evidence_id, min("offset") AS p FROM mk WHERE "offset">=4096 GROUP BY 1
   UNION ALL SELECT w.evidence_id, min(m."offset") FROM wk w JOIN mk m ON m.evidence_id=w.evidence_id AND m."offset">=w.p+{BS} GROUP BY w.evidence_id, w.p),
 kn AS (SELECT * FROM known UNION ALL SELECT * FROM al),
@@ -274,9 +274,7 @@ orp AS (SELECT evidence_id, p AS "offset" FROM wk WHERE NOT EXISTS (SELECT 1 FRO
     UNION ALL SELECT evidence_id, "offset", 'orphan', 'RECOVERED' FROM orp""",
 )
 def unallocated_blocks(spark, sf):
-    index = X.index_entries(spark, sf).where("offset_datablock % (1048576 * 5) = 0").select(
-        "evidence_id", F.col("offset_datablock").alias("offset")
-    )
+    index = X.index_entries(spark, sf).select("evidence_id", F.col("offset_datablock").alias("offset"))
     markers = X.table(spark, sf, "events").selectExpr(
         "event_id % 64 AS evidence_id", "(event_id * 7919007) % 536870912 AS offset"
     ).distinct()
@@ -284,7 +282,6 @@ def unallocated_blocks(spark, sf):
     facts = (
         markers.select("evidence_id", F.explode(F.array(F.floor(F.col("offset") / BS), F.floor(F.col("offset") / BS) - 1)).alias("b"))
         .distinct()
-        .where("b % 7 = 0")
         .select("evidence_id", (F.col("b") * BS).alias("offset"), (F.pmod(F.col("b") * 37 + F.col("evidence_id"), F.lit(100)) / 100).alias("zero_share"))
     )
     return K.unallocated_blocks(images, index, facts, markers, block_size=BS)
@@ -377,19 +374,22 @@ def vendor_images(spark, sf):
         F.array(*(F.lit(e) for e in (".dd", ".dav", ".stm", ".mp4"))),
         (F.pmod("evidence_id", F.lit(4)) + 1).cast("int"),
     )
-    body = F.concat(marks, F.col("content"))
-    return X.blobs(spark, sf).select(
-        "evidence_id",
-        ext.alias("extension"),
-        F.length(body).cast("bigint").alias("size"),
-        F.encode(body, "UTF-8").alias("head"),
-        F.pmod("evidence_id", F.lit(5)).alias("dhav_frames"),
-        F.pmod("evidence_id", F.lit(7)).alias("nal_headers"),
-        F.pmod("evidence_id", F.lit(2)).alias("nal_starts"),
-        F.lit(0).alias("xm_markers"),
-        F.pmod("evidence_id", F.lit(3)).alias("vps_markers"),
-        F.pmod("evidence_id", F.lit(2)).alias("carved_streams"),
-    )
+    latin = X.blobs(spark, sf).select("evidence_id", F.col("content"))
+    body = F.col("content")
+    for tag, mark in FRAME_MARKS.items():
+        body = F.replace(body, F.lit(tag), F.lit(mark))
+    # one byte a character: the frame marks of a recorder stand where the page has tags
+    head = F.concat(F.encode(marks, "ISO-8859-1"), F.encode(body, "ISO-8859-1"))
+    images = latin.select("evidence_id", ext.alias("extension"), F.length(head).cast("bigint").alias("size"), head.alias("head"))
+    facts = G.marker_facts(R.text_chunks(images, "head", 4096, 64), 4096)
+    return images.join(facts, "evidence_id")
+
+
+#: Tags of a page and the recorder bytes put in their place (as ISO-8859-1).
+FRAME_MARKS = {
+    "<b>": "DHAV", "<br>": "\x00\x00\x00\x01@", "</li>": "\x02\x80\x01\x00\x80\x07\x38\x04\x10" + "\x00" * 11,
+    "<h1>": "\x00\x00\x00\x01", "<article>": "\x00\x00\x01\xfd",
+}
 
 
 _VC = [
@@ -398,7 +398,7 @@ _VC = [
     ("honeywell", 0.85, "CASE WHEN dhfs THEN 0 WHEN hon AND nh>=2 THEN 0.82 WHEN hon THEN 0.65 WHEN nh>=5 THEN 0.70 ELSE 0 END"),
     ("matrix", 0.82, "CASE WHEN mat AND ext='.stm' THEN 0.82 WHEN ext='.stm' THEN 0.70 WHEN mat AND ns>=1 THEN 0.78 WHEN mat THEN 0.62 ELSE 0 END"),
     ("tplink_vigi", 0.80, "CASE WHEN dhfs THEN 0 WHEN dhav AND tp AND ext='.dav' THEN 0.80 WHEN dhav AND ext='.dav' THEN 0.65 WHEN tp AND dh>=3 THEN 0.78 ELSE 0 END"),
-    ("godrej", 0.80, "CASE WHEN god AND dhfs THEN 0.80 WHEN god AND dhav AND ext='.dav' THEN 0.78 WHEN dhfs THEN 0 WHEN god AND dh>=1 THEN 0.72 WHEN god THEN 0.60 ELSE 0 END"),
+    ("godrej", 0.80, "CASE WHEN god AND dhfs THEN 0.80 WHEN god AND dhav AND ext='.dav' THEN 0.78 WHEN dhfs THEN 0 WHEN god AND xm>=1 THEN 0.75 WHEN god AND dh>=1 THEN 0.72 WHEN god THEN 0.60 ELSE 0 END"),
     ("heimvision", 0.75, "CASE WHEN ext='.dd' AND vp>=2 THEN 0.75 ELSE 0 END"),
     ("uniview", 0.75, "CASE WHEN unv AND ns>=1 THEN 0.75 WHEN unv THEN 0.60 ELSE 0 END"),
     ("cpplus", 0.72, "CASE WHEN cp AND (dhfs OR dhav OR dh>=3) THEN 0.72 ELSE 0 END"),
@@ -413,7 +413,10 @@ def _has(words: list[str], exact: bool = False) -> str:
 
 
 VENDOR_SQL = f"""
-WITH {BLOBS}, b AS (SELECT evidence_id, evidence_id%9 AS k, evidence_id%5 AS dh, evidence_id%7 AS nh, evidence_id%2 AS ns, evidence_id%3 AS vp,
+WITH {BLOBS}, b AS (SELECT evidence_id, evidence_id%9 AS k,
+   (length(content)-length(replace(content,'<b>','')))//3 + (evidence_id%9 IN (1,2))::INT AS dh, (length(content)-length(replace(content,'</li>','')))//5 AS nh,
+   (length(content)-length(replace(content,'<br>','')))//4 + (length(content)-length(replace(content,'<h1>','')))//4 AS ns,
+   (length(content)-length(replace(content,'<br>','')))//4 AS vp, (length(content)-length(replace(content,'<article>','')))//9 AS xm,
    ['.dd','.dav','.stm','.mp4'][evidence_id%4+1] AS ext,
    substr(['DHFS4.1 ','DHAV frame ','DHAV vigi ','plain ','SATATYA NVR ','Godrej ACE ','UNV box ','DHFS4.1 CP PLUS ','Honeywell '][evidence_id%9+1] || content, 1) AS h FROM blobs),
 f AS (SELECT *, starts_with(h,'DHFS4.1') AS dhfs, starts_with(h,'DHAV') AS dhav, {_has(G.BRANDS['honeywell'])} AS hon, {_has(G.BRANDS['matrix'])} AS mat,
@@ -433,6 +436,27 @@ def vendor_detect(spark, sf):
     return G.detect_vendors(vendor_images(spark, sf)).where("is_best").select("evidence_id", "vendor", "confidence")
 
 
+@query(
+    "marker_facts",
+    f"{VENDOR_SQL} SELECT evidence_id, dh AS dhav_frames, nh AS nal_headers, ns AS nal_starts, xm AS xm_markers, vp AS vps_markers, ns AS carved_streams FROM b",
+)
+def marker_facts(spark, sf):
+    return vendor_images(spark, sf).select("evidence_id", *G.FACTS)
+
+
+@query(
+    "block_facts",
+    f"""WITH {BLOBS}, b AS (SELECT evidence_id, unnest(range(0, (length(content)+1023)//1024)) AS i, content FROM blobs),
+    s AS (SELECT evidence_id, i*1024 AS "offset", substr(content, i*1024+1, 1000) AS s FROM b)
+    SELECT evidence_id, "offset", (length(s)-length(replace(s,'e','')))/length(s) AS zero_share, "offset"+strpos(s,'<p>')-1 AS first_pack FROM s WHERE contains(s,'<p>')""",
+    "zero_share",
+)
+def block_facts(spark, sf):
+    images = X.blobs(spark, sf).select("evidence_id", F.encode("content", "ISO-8859-1").alias("content"))
+    chunks = R.text_chunks(images, "content", 1500, 16)
+    return K.block_facts(chunks, 1024, b"<p>", chunk=1500, filler=ord("e"), head=1000)
+
+
 @query(
     "candidate_audit",
     f"{VENDOR_SQL} SELECT evidence_id, rank, vendor, confidence>0 AS matched, confidence, coalesce(top>=mx,false) AS skipped FROM w",

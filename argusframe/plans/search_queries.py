@@ -277,8 +277,8 @@ def last_turns(spark, sf):
     return Q.last_turns(X.chat(spark, sf))
 
 
-def _gone(where: str) -> str:
-    return f"""WITH {VEV}, f AS (SELECT *, lower(object_type) AS ot FROM vev WHERE object_type IS NOT NULL {where}),
+def _gone(where: str, ot: str = "lower(object_type)") -> str:
+    return f"""WITH {VEV}, f AS (SELECT *, {ot} AS ot FROM vev WHERE object_type IS NOT NULL {where}),
     l AS (SELECT *, s_us - lag(e_us) OVER (PARTITION BY camera_id, ot ORDER BY s_us, event_id) AS gap FROM f),
     g AS (SELECT camera_id, ot, gap, row_number() OVER (PARTITION BY camera_id, ot ORDER BY gap) AS rn, count(*) OVER (PARTITION BY camera_id, ot) AS n FROM l WHERE gap>=0),
     m AS (SELECT camera_id, ot, gap FROM g WHERE rn = n//2+1),
@@ -308,7 +308,7 @@ def disappearances_seen(spark, sf):
 
 @query(
     "disappearance_related",
-    f"""{_gone("AND object_type<>'truck' AND s_us < 1704067200000000 + 18000000000")},
+    f"""{_gone("", "lower(object_type) || ' ' || track_id")},
     r AS (SELECT v.camera_id, g.object_type, v.event_id, v.start_time, v.event_type, v.object_type AS seen_type,
       row_number() OVER (PARTITION BY v.camera_id, g.object_type ORDER BY v.start_time, v.event_id) AS position
       FROM vev v JOIN gone g ON v.camera_id=g.camera_id AND v.start_time>=g.disappearance_time)
@@ -316,8 +316,9 @@ def disappearances_seen(spark, sf):
 )
 def disappearance_related(spark, sf):
     ev = X.video_events(spark, sf)
-    early = ev.where("(object_type IS NULL OR object_type <> 'truck') AND start_time < TIMESTAMP '2024-01-01 05:00:00'")
-    return Q.disappearance_related(ev, Q.disappearances(early))
+    # each tracked object by itself, so that objects are gone at all times of the table
+    objects = ev.withColumn("object_type", F.concat_ws(" ", "object_type", "track_id")).where(ev["object_type"].isNotNull())
+    return Q.disappearance_related(ev, Q.disappearances(objects))
 
 
 @query(

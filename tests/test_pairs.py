@@ -82,3 +82,25 @@ def test_rows_inside_intervals(spark, width):
     )
     want = sorted((i, r) for k, i, s, e in spans for q, at, r in rows if q == k and s <= at <= e)
     assert sorted((x["i"], x["r"]) for x in got.collect()) == want
+
+
+@pytest.mark.parametrize("seconds", [1, 30, 100000])
+def test_next_events_of_a_camera(spark, seconds):
+    import datetime as dt
+
+    from argusframe.operators import search
+
+    rng = random.Random(seconds)
+    t0 = dt.datetime(2026, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    events = [(rng.choice("xy"), i, at(rng.randrange(200)), "E", "t") for i in range(150)]
+    gone = [(rng.choice("xyz"), f"o{i}", at(rng.randrange(230))) for i in range(60)]
+    got = search.disappearance_related(
+        spark.createDataFrame(events, "camera_id string, event_id long, start_time timestamp, event_type string, object_type string"),
+        spark.createDataFrame(gone, "camera_id string, object_type string, disappearance_time timestamp"), 3, seconds,
+    ).collect()
+    want = []
+    for cam, o, t in gone:
+        later = sorted((s, i) for c, i, s, _, _ in events if c == cam and s >= t)[:3]
+        want += [(cam, o, n + 1, i) for n, (_, i) in enumerate(later)]
+    assert sorted((r["camera_id"], r["object_type"], r["position"], r["event_id"]) for r in got) == sorted(want)
